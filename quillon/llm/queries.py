@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm import oracle
 from quillon.llm.decontaminate import decontaminate
+from quillon.llm.matroska import store_media
+from quillon.llm.pack import pack
+from quillon.llm.secrets import find_secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +24,24 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.size("item_ids") > 0).alias("contaminated"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+    count = lambda kind: F.size(F.filter("secret_spans", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("secret_spans", lambda x: x["kind"] != "pair")
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined("secret_spans").alias("spans"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_media(table(spark, sf_dir, "documents"), with_media=False)
+
+
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
