@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import oracle
+from quillon.llm import langid, oracle, toxicity
 from quillon.llm.decontaminate import decontaminate
 from quillon.llm.matroska import store_media
 from quillon.llm.pack import pack
@@ -36,6 +36,23 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_media(table(spark, sf_dir, "documents"), with_media=False)
 
 
+def _remainder(column: str, n: int):
+    """crc32 of the id as text, modulo n; null ids count as never held out."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % n, F.lit(-1))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(_remainder("doc_id", 4) != 2))
+    return langid.identify(docs, model).select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(_remainder("doc_id", 5) != 0))
+    return toxicity.score_toxicity(docs, model).select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
