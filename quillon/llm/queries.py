@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.llm import langid, oracle, toxicity
 from quillon.llm.decontaminate import decontaminate
 from quillon.llm.matroska import store_media
+from quillon.llm.neardup import near_duplicates
 from quillon.llm.pack import pack
 from quillon.llm.secrets import find_secrets
 
@@ -59,6 +60,11 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
