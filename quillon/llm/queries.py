@@ -13,6 +13,7 @@ from quillon.llm.matroska import store_media
 from quillon.llm.neardup import near_duplicates
 from quillon.llm.pack import pack
 from quillon.llm.secrets import find_secrets
+from quillon.llm.warc import PREFIX, archive_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined("secret_spans").alias("spans"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive_pages(table(spark, sf_dir, "pages"), min_bytes=0)
+    refers = F.regexp_extract("refers_to", f"^<{PREFIX}(-?[0-9]+)>$", 1).cast("long")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", refers).alias("refers_to"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_media(table(spark, sf_dir, "documents"), with_media=False)
 
