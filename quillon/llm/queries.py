@@ -12,6 +12,7 @@ from quillon.llm.decontaminate import decontaminate
 from quillon.llm.matroska import store_media
 from quillon.llm.neardup import near_duplicates
 from quillon.llm.pack import pack
+from quillon.llm.pagediff import extract
 from quillon.llm.secrets import find_secrets
 from quillon.llm.warc import PREFIX, archive_pages
 
@@ -26,6 +27,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.size("item_ids") > 0).alias("contaminated"))
 
 
+def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
