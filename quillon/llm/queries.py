@@ -14,6 +14,7 @@ from quillon.llm.neardup import near_duplicates
 from quillon.llm.pack import pack
 from quillon.llm.pagediff import extract
 from quillon.llm.secrets import find_secrets
+from quillon.llm.substring import remove_repeats
 from quillon.llm.warc import PREFIX, archive_pages
 
 
@@ -27,6 +28,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.size("item_ids") > 0).alias("contaminated"))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
