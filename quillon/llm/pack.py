@@ -37,14 +37,14 @@ RUN_BLOCK = 500_000  # runs shipped at once: 20 MB
 
 
 def _cut(batches: Iterator[pa.RecordBatch], text: str, path: str, most: int, end_id: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    from quillon.llm.tokens import Encoder
+    from quillon.llm.tokens import encoder
 
-    encoder, part_id = Encoder(path), TaskContext.get().partitionId()
+    coder, part_id = encoder(path), TaskContext.get().partitionId()
     seen = np.zeros(most + 1, np.int64)
     end = np.array([end_id], "<u4").tobytes()
     for part in W.slices(batches, text):
         row, piece, start, length, crc, rank = [], [], [], [], [], []
-        for i, ids in enumerate(encoder.encode(W.column(part, text).to_pylist())):
+        for i, ids in enumerate(coder.encode(W.column(part, text).to_pylist())):
             ids += end
             for k, a in enumerate(range(0, len(ids), 4 * most)):
                 x = ids[a : a + 4 * most]

@@ -4,14 +4,26 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
 #: Texts of these characters alone are their own composed form and lower-case character by character, so that their words can be
 #: split here and looked up; any other text goes to the tokenizer whole.
 _ODD = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]|<\|")
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-MOST_CACHED = 200_000
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+MOST_CACHED = 300_000
+#: Byte-level spelling: bytes without a printable Latin-1 character of their own take the code points from 256 on, in order.
+_OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SPELLED = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _OWN)}
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so its cache outlives tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 class Encoder:
@@ -21,11 +33,20 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.cache, self.older = Tokenizer.from_file(path), {}, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """ids of words that the splitter would leave whole: straight from the model, bytes spelled as it spells them."""
+        tokenize, pack = self.tokenizer.model.tokenize, struct.pack
+        out = []
+        for w in words:
+            found = tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_SPELLED))
+            out.append(pack(f"<{len(found)}I", *[t.id for t in found]))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         plain, odd = [], []
@@ -33,10 +54,13 @@ class Encoder:
             if t:
                 (odd if _ODD.search(t) else plain).append(i)
         pieces = [_PIECE.findall(texts[i].lower()) for i in plain]
-        if len(self.cache) > MOST_CACHED:
-            self.cache = {}
-        new = list(set().union(*pieces) - self.cache.keys())
-        self.cache.update(zip(new, self._ids(new), strict=True))
+        if len(self.cache) > MOST_CACHED:  # words that are still in use come back from the older half
+            self.older, self.cache = self.cache, {}
+        new = set().union(*pieces) - self.cache.keys()
+        known = new & self.older.keys()
+        self.cache.update((w, self.older[w]) for w in known)
+        new = list(new - known)
+        self.cache.update(zip(new, self._words(new), strict=True))
         get = self.cache.__getitem__
         for i, p in zip(plain, pieces, strict=True):
             out[i] = b"".join(map(get, p))
