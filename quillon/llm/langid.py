@@ -31,6 +31,7 @@ ROWS = 4096
 PER_LANGUAGE, MOST_LANGUAGES = 600, 512
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
+_HASHES = 1 << 40
 _LETTER = W._class([(0x41, 0x5A), (0x61, 0x7A)])
 
 
@@ -107,12 +108,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model | None:
     """A model of at most per_language rows of each language; None without labelled rows."""
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
-    order = Window.partitionBy("lang").orderBy("_hash", "_id")
-    light = known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id)).alias("_hash"))
-    chosen = light.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("_id", "lang").distinct()
-    names = [r["lang"] for r in light.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
-    if len(names) > MOST_LANGUAGES:
+    light = known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(_HASHES)).alias("_hash"))
+    counts = {r["lang"]: r["n"] for r in light.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    names = sorted(counts)
+    if not names:
+        return None
+    # about twice the rows asked for, by hash, before any row is ranked: a language that most rows share is no hot key
+    below = F.create_map(*(x for v in names for x in (F.lit(v), F.lit(min(_HASHES, 2 * per_language * _HASHES // counts[v] + 1)))))
+    order = Window.partitionBy("lang").orderBy("_hash", "_id")
+    chosen = light.where(F.col("_hash") < below[F.col("lang")]).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("_id", "lang").distinct()
     ids = F.broadcast(chosen)  # at most per_language * MOST_LANGUAGES rows of an id and a language
     rows = known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(ids, ["_id", "lang"]).select("lang", "text").mapInArrow(_features, "lang string, x binary").limit(2 * per_language * max(1, len(names))).collect()
     if not rows:
