@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 from quillon.config import Q
 from quillon.functions.quantize import box_distance, squared_distance
 from quillon.operators.stats import bounding_boxes, widest_dimension
+from quillon.plans.shared import shared_path
 
 
 def with_cells(refs: DataFrame, leaf: int = 64, levels: int = 10, columns: list[str] = Q) -> DataFrame:
-    """refs with the string column cell: the key and a path of bits. levels bounds the number of passes."""
+    """refs with the string column cell: the key and a path of bits. levels bounds the number of passes.
+
+    Every level is written to the shared folder: the next one's plan starts from a table, not from all levels before.
+    """
+    spark = refs.sparkSession
     now = refs.withColumn("cell", F.col("part_key").cast("string"))
     for _ in range(levels):
         counts = now.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > leaf)
@@ -26,6 +31,9 @@ def with_cells(refs: DataFrame, leaf: int = 64, levels: int = 10, columns: list[
         medians = placed.where(F.col("dimension").isNotNull()).groupBy("cell").agg(F.percentile_approx(value, 0.5).alias("median"))
         side = F.when(F.col("median").isNull(), "").when(value <= F.col("median"), "0").otherwise("1")
         now = placed.join(medians, "cell", "left").withColumn("cell", F.concat("cell", side)).drop("dimension", "median")
+        path = shared_path(spark, "level")
+        now.write.parquet(path)
+        now = spark.read.parquet(path)
     return now
 
 

@@ -193,8 +193,9 @@ def fraud_decision(spark, d):
 def knn_cells(spark, d):
     """The same neighbours through median-split cells and their boxes, the index written once."""
     path = shared_path(spark, "cells")
-    kdcells.with_cells(_refs(spark, d).select("ref_id", "fraud", "part_key", *Q), leaf=512, levels=6).write.parquet(path)
-    refs = spark.read.parquet(path)
+    _refs(spark, d).select("ref_id", "fraud", "part_key", *Q).write.parquet(f"{path}/refs")
+    kdcells.with_cells(spark.read.parquet(f"{path}/refs"), leaf=512, levels=4).write.parquet(f"{path}/cells")
+    refs = spark.read.parquet(f"{path}/cells")
     found = kdcells.neighbours_by_cells(_asked(refs), refs, kdcells.cells(refs))
     return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "ref_id", "dist")
 
