@@ -220,7 +220,7 @@ class WarcReader(DataSourceReader):
         fs, root = pafs.FileSystem.from_uri(self.path)
         info = fs.get_file_info(root)
         if info.type == pafs.FileType.NotFound:
-            return []
+            return [Files([])]  # Spark reads a source without partitions as one that has no partitioning
         found = [info] if info.is_file else [x for x in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if x.is_file and x.base_name.endswith((".warc", ".warc.gz"))]
         listed = f"{root}/{LIST}"
         if not info.is_file and fs.get_file_info(listed).is_file:
@@ -235,7 +235,7 @@ class WarcReader(DataSourceReader):
                 room = self.partition_bytes
             out[-1].paths.append(x.path)
             room -= x.size
-        return out
+        return out or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(self.path)
