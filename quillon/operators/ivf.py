@@ -124,16 +124,12 @@ def probes(queries: DataFrame, centroids: list[list[float]], nprobe: int, column
 
 
 def ivf_neighbours(queries: DataFrame, assigned: DataFrame, centroids: list[list[float]], nprobe: int, k: int, columns: list[str] = U) -> DataFrame:
-    """Neighbours among the vectors of the probed lists. Every probe is a query of its own, keyed by the list; k are kept of all."""
+    """The k nearest among the vectors of the probed lists."""
     k = min(k, MOST)
     if not k or nprobe < 1:
         return neighbours(queries.limit(0).withColumn("centroid_id", F.lit(0)), assigned, 1, columns, "centroid_id", "join")
-    asked = probes(queries, centroids, nprobe, columns)
-    out = None
-    for p in range(min(nprobe, MOST, len(centroids))):  # at most 32; a query has one key in each pass
-        found = neighbours(asked.where(F.col("probe") == p), assigned, k, columns, "centroid_id")
-        out = found if out is None else out.unionByName(found)
-    return out.drop("rank").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "ref_id"))).where(F.col("rank") <= k)
+    # a query stands once for each list that it probes, so one pass serves all probes
+    return neighbours(probes(queries, centroids, nprobe, columns), assigned, k, columns, "centroid_id")
 
 
 def ivf_votes(queries: DataFrame, assigned: DataFrame, centroids: list[list[float]], nprobe: int, k: int, columns: list[str] = U) -> DataFrame:
