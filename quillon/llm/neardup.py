@@ -7,9 +7,10 @@ with M = 12 and HALF = 3 that misses a pair of similarity 0.8 with probability 4
 1. Documents with equal shingle sets become one node (pre-aggregated by a 128-bit set hash).
 2. Half-keys that no other node has are dropped before the tables are formed.
 3. In every table bucket all nodes are paired with the least one only; these pairs are verified on the full sets and linked.
-4. Buckets whose nodes are then still in several components are searched whole, in blocks of bounded size, for pairs of different
-   components; the triangle inequality of the Jaccard distance to the bucket's least node and the agreement of all minhash values
-   (least agreement SIGHT, which a true link misses with probability 1e-7) leave few, which are verified too. Pairs within
+4. In buckets whose nodes are then still in several components, each node of a smaller component is paired with its likeliest partner in
+   every larger one, and what is verified is linked.
+5. Buckets that still hold several components are searched whole, in blocks of bounded size, for pairs of different components; the triangle inequality of the Jaccard distance to the bucket's least node and the agreement of all minhash values
+   (least agreement SIGHT, which a true link misses with probability 1e-5) leave few, which are verified too. Pairs within
    one component need no test, so no link between components is lost and no group is expanded into all its pairs.
 
 Defined results: null, empty or wordless texts have no shingles and no links; a single word is one shingle; rows with a
@@ -32,7 +33,7 @@ from quillon.llm.store import Written
 
 M, HALF = 12, 3
 SHINGLE, THRESHOLD = 5, 80
-SIGHT = 0.55
+SIGHT = 0.58
 BLOCK, GROUP = 1024, 512
 BROADCAST_ROWS = 500_000
 _MULTIPLY = np.random.default_rng(11).integers(1, 1 << 63, 2 * M * HALF, dtype=np.uint64) | np.uint64(1)
@@ -71,7 +72,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.
                     key = W.mix(key * np.uint64(31) + least)
                 keys[filled, g] = key
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(list(keys.view(np.int64)), longs), pa.array([r.tobytes() for r in sign], pa.binary())],
+            [part.column("doc_id"), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(list(keys.view(np.int64)), longs), pa.array([a.tobytes() + b.tobytes() for a, b in zip(keys.astype(np.uint32), sign, strict=True)], pa.binary())],
             names=["doc_id", "n", "s1", "s2", "keys", "sign"],
         )
 
@@ -111,31 +112,53 @@ def verify(docs: DataFrame, pairs: DataFrame, n_pairs: int, shingle: int) -> Dat
     return found.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role", "doc").mapInArrow(partial(_verify, shingle=shingle), "pivot bigint, doc bigint, shared bigint, total bigint").groupBy("pivot", "doc").agg(F.max(F.struct(F.col("shared") / F.col("total"), "shared", "total")).alias("best")).select("pivot", "doc", "best.shared", "best.total")
 
 
-def _search(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block pair that lie in different components and may be links."""
+def _search(batches: Iterator[pa.RecordBatch], threshold: int, best: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of one block pair that lie in different components and may be links.
+
+    best: for each row of the smaller component the likeliest partner only. Else all, each pair from the first table that it shares alone.
+    """
     state: list = []
     near = threshold / 100
 
     def pairs(rows: list) -> Iterator[tuple[int, int]]:
         node = np.array([r[1] for r in rows])
-        comp = np.array([r[2] for r in rows])
+        comp = np.unique([r[2] for r in rows], return_inverse=True)[1]
+        if not comp.any():
+            return
         size = np.array([r[3] for r in rows], float)
         far = np.array([r[4] for r in rows])
         block = np.array([r[5] for r in rows])
+        table = rows[0][7]
         _, low, high = rows[0][0]
-        if (comp == comp[0]).all():
-            return
-        sign = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+        both = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+        half, sign = np.ascontiguousarray(both[:, : 8 * M]).view(np.uint32), np.ascontiguousarray(both[:, 8 * M :])
+        many = np.bincount(comp)
         for i in range(len(rows)):
-            other = np.flatnonzero((comp != comp[i]) & (node > node[i] if low == high else (block != block[i]) & (block[i] == low)))
+            fits = comp != comp[i]
+            if low != high:
+                fits &= block != block[i] if best else (block != block[i]) & (block[i] == low)
+            elif not best:
+                fits &= node > node[i]
+            if best:
+                fits &= (many[comp] > many[comp[i]]) | ((many[comp] == many[comp[i]]) & (comp > comp[i]))
+            other = np.flatnonzero(fits)
             other = other[~(np.abs(far[other] - far[i]) > 1 - near + 1e-9) & (np.minimum(size[other], size[i]) >= near * np.maximum(size[other], size[i]) - 1e-9)]
-            if len(other):
-                for j in other[(sign[other] == sign[i]).mean(axis=1) >= SIGHT].tolist():
-                    yield (int(min(node[i], node[j])), int(max(node[i], node[j])))
+            if not len(other):
+                continue
+            seen = (sign[other] == sign[i]).mean(axis=1)
+            other, seen = other[seen >= SIGHT], seen[seen >= SIGHT]
+            if best:
+                order = np.lexsort((-seen, comp[other]))
+                other = other[order][np.unique(comp[other][order], return_index=True)[1]]
+            else:
+                same = half[other] == half[i]
+                other = other[same[:, :M].argmax(axis=1) * M + same[:, M:].argmax(axis=1) == table]
+            for j in other.tolist():
+                yield (int(min(node[i], node[j])), int(max(node[i], node[j])))
 
     for batch in [*batches, None]:
         found: set[tuple[int, int]] = set()
-        columns = [] if batch is None else [batch.column(n).to_pylist() for n in ("key", "low", "high", "node", "component", "n", "distance", "block", "sign")]
+        columns = [] if batch is None else [batch.column(n).to_pylist() for n in ("key", "low", "high", "node", "component", "n", "distance", "block", "sign", "table")]
         for key, low, high, *row in zip(*columns, strict=True) if columns else ():
             if state and state[0][0] != (key, low, high):
                 found.update(pairs(state))
@@ -158,7 +181,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     common = halves.groupBy("pos", "half").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     side = lambda first: F.filter(F.collect_list(F.struct("pos", "half")), lambda x: x["pos"] < M if first else x["pos"] >= M)
     kept = halves.join(common, ["pos", "half"], "left_semi").groupBy("node").agg(side(True).alias("a"), side(False).alias("b"))
-    tables = Written(kept.where((F.size("a") > 0) & (F.size("b") > 0)).select("node", F.explode("a").alias("a"), "b").select("node", "a", F.explode("b").alias("b")).select("node", F.xxhash64("a.pos", "a.half", "b.pos", "b.half").alias("key")), "tables").read()
+    tables = Written(kept.where((F.size("a") > 0) & (F.size("b") > 0)).select("node", F.explode("a").alias("a"), "b").select("node", "a", F.explode("b").alias("b")).select("node", F.xxhash64("a.pos", "a.half", "b.pos", "b.half").alias("key"), (F.col("a.pos") * M + F.col("b.pos") - M).alias("table")), "tables").read()
     buckets = tables.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = tables.join(buckets, "key")
     sizes = nodes.select("node", "n")
@@ -169,19 +192,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     first = Written(verify(taken, pairs, pairs.count(), shingle), "verified").read()
     linked = 100 * F.col("shared") >= threshold * F.col("total")
     links = first.where(linked).select("pivot", "doc")
-    parts = Written(components(links, "pivot", "doc"), "parts").read()
-    placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x < y").select("key", F.ceil(F.col("c") / BLOCK).alias("blocks"))
+    tested = first.select("pivot", "doc")
     distance = first.select("pivot", F.col("doc").alias("node"), (1 - F.col("shared") / F.col("total")).alias("distance"))
-    # null: not verified, for its sizes; such rows are bounded by nothing and always qualify
-    rows = placed.join(mixed, "key").join(distance, ["pivot", "node"], "left").withColumn("distance", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance")))
-    rows = rows.join(nodes.select("node", "n", "sign"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    more = dealt.select("key", "low", "high", "node", "component", "n", F.coalesce("distance", F.lit(float("nan"))).alias("distance"), "block", "sign").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-    second = Written(more.mapInArrow(partial(_search, threshold=threshold), "pivot bigint, doc bigint").distinct().join(first.select("pivot", "doc"), ["pivot", "doc"], "left_anti"), "pairs").read()
-    n_second = second.count()
-    if n_second:
-        links = links.unionByName(verify(taken, second, n_second, shingle).where(linked).select("pivot", "doc"))
-        parts = Written(components(links, "pivot", "doc"), "parts").read()
+    parts = Written(components(links, "pivot", "doc"), "parts").read()
+    for best in (True, False):
+        placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x < y").select("key", F.ceil(F.col("c") / BLOCK).alias("blocks"))
+        # a null distance: not verified, for its sizes; such rows are bounded by nothing and always qualify
+        rows = placed.join(mixed, "key").join(distance, ["pivot", "node"], "left").withColumn("distance", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance")))
+        rows = rows.join(nodes.select("node", "n", "sign"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+        more = dealt.select("key", "low", "high", "node", "component", "n", F.coalesce("distance", F.lit(float("nan"))).alias("distance"), "block", "sign", "table").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+        found = Written(more.mapInArrow(partial(_search, threshold=threshold, best=best), "pivot bigint, doc bigint"), "found").read()
+        untested = Written(found.distinct().join(tested, ["pivot", "doc"], "left_anti"), "pairs").read()
+        n_pairs = untested.count()
+        if n_pairs:
+            then = Written(verify(taken, untested, n_pairs, shingle), "verified").read()
+            links = links.unionByName(then.where(linked).select("pivot", "doc"))
+            tested = tested.unionByName(then.select("pivot", "doc"))
+            parts = Written(components(links, "pivot", "doc"), "parts").read()
     placed = nodes.select("s1", "s2", "n", "node").join(parts, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component_id"))
     return sets.select("doc_id", "n", "s1", "s2").join(placed, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
