@@ -133,7 +133,8 @@ def test_fm_index_reports_all_stretches():
     assert got == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 500_000])
+def test_components(spark, small):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(400, 440)] + [(500, i) for i in range(501, 560)] + [(7, 7)]
     parent = {x: x for e in edges for x in e}
@@ -146,7 +147,7 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
+    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b", small).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
