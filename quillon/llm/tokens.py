@@ -12,7 +12,7 @@ import numpy as np
 #: split here and looked up; any other text goes to the tokenizer whole.
 _ODD = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]|<\|")
 _PIECE = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-MOST_CACHED = 300_000
+MOST_CACHED = 120_000
 #: Byte-level spelling: bytes without a printable Latin-1 character of their own take the code points from 256 on, in order.
 _OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SPELLED = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _OWN)}

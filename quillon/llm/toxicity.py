@@ -31,6 +31,7 @@ from quillon.llm import words as W
 GRAMS = (3, 4, 5, 6)
 BITS, DIM, EPOCHS, RATE, DECAY = 17, 4, 40, 0.15, 0.3
 SAMPLE = 1500
+BLOCK = 16_384
 PRIOR = 6  # empty vectors that every mean takes in: words of few n-grams need more evidence
 
 
@@ -86,20 +87,28 @@ class Model:
         size = np.array([len(w) for w in names], np.int64)
         data = np.frombuffer(b"".join(names), np.uint8)
         end = np.cumsum(size)
-        rows, owner = subwords(data, end - size, end, self.bits)
-        order = np.argsort(owner, kind="stable")
-        rows, owner = rows[order], owner[order]
-        counts = np.bincount(owner, minlength=len(names))
+        counts = np.zeros(len(names), np.int64)
+        # words go in blocks, so that memory holds the row numbers (four bytes each) and one block's vectors
+        blocks: list[tuple[int, int, np.ndarray]] = []
+        for a in range(0, len(names), BLOCK):
+            b = min(a + BLOCK, len(names))
+            low = int(end[a] - size[a])
+            rows, owner = subwords(data[low : end[b - 1]], end[a:b] - size[a:b] - low, end[a:b] - low, self.bits)
+            counts[a:b] = np.bincount(owner, minlength=b - a)
+            blocks.append((a, b, rows[np.argsort(owner, kind="stable")]))
         parts = counts + PRIOR
-        first = np.zeros(len(names), np.int64)
-        np.cumsum(counts[:-1], out=first[1:])
-        used, rows = np.unique(rows, return_inverse=True)
+        seen = np.zeros(1 << self.bits, bool)
+        for _, _, rows in blocks:
+            seen[rows] = True
+        used = np.flatnonzero(seen)
+        place = np.cumsum(seen).astype(np.int32) - 1
+        blocks = [(a, b, place[rows]) for a, b, rows in blocks]
         vectors, linear, bias = self.vectors[used].astype(np.float64), self.linear.astype(np.float64), self.bias.astype(np.float64)
         positive = labels.astype(bool)
         weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())) * len(docs)
         state = [[np.zeros_like(x), np.zeros_like(x)] for x in (vectors, linear, bias)]
         for step in range(1, epochs + 1):
-            mean = np.add.reduceat(vectors[rows], first, axis=0) / parts[:, None]
+            mean = np.concatenate([np.add.reduceat(vectors[rows], np.cumsum(counts[a:b]) - counts[a:b], axis=0) for a, b, rows in blocks]) / parts[:, None]
             z = mean @ (linear[:, 1] - linear[:, 0]) + bias[1] - bias[0]
             p = np.clip(1 / (1 + np.exp(-z)), 1e-9, 1 - 1e-9)
             none = np.bincount(pair_doc, np.log1p(-p)[pair_word], len(docs))  # log of the chance of no toxic window
@@ -109,8 +118,8 @@ class Model:
             dz = np.bincount(pair_word, of_doc[pair_doc], len(names)) * p / len(docs)
             w = linear[:, 1] - linear[:, 0]
             d_w = mean.T @ dz
-            per = (dz / parts)[owner]
-            d_vectors = np.bincount(rows, per, len(used))[:, None] * w[None, :]
+            pull = dz / parts
+            d_vectors = sum(np.bincount(rows, np.repeat(pull[a:b], counts[a:b]), len(used)) for a, b, rows in blocks)[:, None] * w[None, :]
             grads = (d_vectors, np.stack([-d_w, d_w], axis=1), np.array([-dz.sum(), dz.sum()]))
             vectors *= 1 - rate * decay  # what no text still calls for fades
             for x, g, (m, v) in zip((vectors, linear, bias), grads, state, strict=True):
@@ -163,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 def _score(batches: Iterator[pa.RecordBatch], shipped, text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     folded, bias, bits = shipped.value
-    for part, w in W.tables(batches, text, W.ALNUM, True):
+    for part, w in W.tables(batches, text, W.ALNUM, True, W.SLICE_BYTES // 4):  # some 300 bytes of work for each byte
         score = text_scores(w, folded, bias, bits) if folded is not None else np.zeros(len(part))
         yield pa.RecordBatch.from_arrays([pa.array(score, pa.float64()) if f.name == "toxicity" else part.column(f.name) for f in schema], schema=schema)
 

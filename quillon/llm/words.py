@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 _M, _Q = U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93)
 
@@ -151,8 +151,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
             at = to
 
 
-def tables(batches: Iterator[pa.RecordBatch], text: str, table: np.ndarray, lower: bool) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    for part in slices(batches, text):
+def tables(batches: Iterator[pa.RecordBatch], text: str, table: np.ndarray, lower: bool, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    for part in slices(batches, text, size):
         yield part, Words(*raw(column(part, text)), table, lower)
 
 
