@@ -4,7 +4,8 @@ A window is SPAN consecutive words. Of the K-gram hashes in a window the least (
 the window's words alone, so equal windows have equal anchors wherever they lie; neighbouring windows of one anchor make a segment.
 
 1. Anchors that only one document has are dropped: (anchor, least id, greatest id) is an aggregate with map-side combining.
-2. Equal segments of an anchor are aggregated to the one of the least document; the others are repeats as a whole.
+2. Equal segments of an anchor are aggregated to the first one of the least document, its owner; those of other documents are repeats
+   as a whole, and the owner document's further ones get what steps 3 and 4 find in the first.
 3. Segments of anchors that still have several different ones are dealt by anchor into shards. Every shard goes through in blocks of about
    BLOCK_WORDS words of whole anchors; for each block a compressed FM-index is built and the block's segments are streamed through it by
    backward search, which reports every stretch of at least SPAN words that a smaller document has.
@@ -77,7 +78,7 @@ def _cut(batches: Iterator[pa.RecordBatch], span: int, hot: int) -> Iterator[pa.
     """The words of the wanted segments as hashes; of hot anchors the hashes of their windows."""
     longs = pa.list_(pa.int64())
     for part, w in W.tables(batches, "text", W.NONSPACE, False):
-        rows: list[list] = [[] for _ in range(6)]
+        rows: list[list] = [[] for _ in range(7)]
         did, rk = part.column("did").to_pylist(), part.column("rk").to_pylist()
         for i, wanted in enumerate(part.column("wanted").to_pylist()):
             for x in wanted:
@@ -87,43 +88,37 @@ def _cut(batches: Iterator[pa.RecordBatch], span: int, hot: int) -> Iterator[pa.
                     values = W.sequence_hash(w.hash, at, at + span)
                 else:
                     values = w.hash[a : a + x["windows"] + span - 1]
-                for column, v in zip(rows, (x["anchor"], did[i], rk[i], x["first"], x["g"] > hot, values.view(np.int64)), strict=True):
+                for column, v in zip(rows, (x["anchor"], x["same"], did[i], rk[i], x["first"], x["g"] > hot, values.view(np.int64)), strict=True):
                     column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), longs), strict=True)], names=["anchor", "did", "rk", "first", "hot", "values"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (*[pa.int64()] * 4, pa.int32(), pa.bool_(), longs), strict=True)], names=["anchor", "same", "did", "rk", "first", "hot", "values"])
 
 
-INTERVALS = "did bigint, rk bigint, a int, b int"
-
-
-def _interval_batch(did, rk, a, b) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(rk, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["did", "rk", "a", "b"])
+#: a and b count from the segment's first word.
+INTERVALS = "anchor bigint, same bigint, did bigint, rk bigint, first int, a int, b int"
 
 
 def _search(batches: Iterator[pa.RecordBatch], span: int, block_words: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor; a block ends between two anchors."""
-    did: list[int] = []
-    rk: list[int] = []
-    first: list[int] = []
+    ids: list[list[int]] = [[] for _ in range(5)]  # anchor, same, did, rk, first
     words: list[np.ndarray] = []
     held, last = 0, None
 
     def block() -> pa.RecordBatch:
-        index = FMIndex([x.view(np.uint64) for x in words], np.array(did, np.int64))
-        which, a, b = index.matches(span)
-        at = np.array(first)[which]
-        return _interval_batch(np.array(did, np.int64)[which], np.array(rk, np.int64)[which], at + a, at + b)
+        own = [np.array(x, np.int64) for x in ids]
+        which, a, b = FMIndex([x.view(np.uint64) for x in words], own[2]).matches(span)
+        columns = [*(x[which] for x in own[:4]), *(x.astype(np.int32) for x in (own[4][which], a, b))]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "same", "did", "rk", "first", "a", "b"])
 
     for batch in batches:
         values = batch.column("values")
         flat, cut = values.flatten().to_numpy(), np.concatenate([[0], np.cumsum(values.value_lengths().to_numpy())])
-        for i, (anchor, d, r, f) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("anchor", "did", "rk", "first")), strict=True)):
-            if anchor != last and held >= block_words:
+        for i, row in enumerate(zip(*(batch.column(n).to_pylist() for n in ("anchor", "same", "did", "rk", "first")), strict=True)):
+            if row[0] != last and held >= block_words:
                 yield block()
-                did, rk, first, words, held = [], [], [], [], 0
-            last = anchor
-            did.append(d)
-            rk.append(r)
-            first.append(f)
+                ids, words, held = [[] for _ in range(5)], [], 0
+            last = row[0]
+            for column, v in zip(ids, row, strict=True):
+                column.append(v)
             words.append(flat[cut[i] : cut[i + 1]])
             held += len(words[-1])
     if words:
@@ -141,16 +136,23 @@ def repeated(docs: DataFrame, span: int = SPAN, k: int = K, hot: int = HOT, bloc
     shared = light.select("did", "text").mapInArrow(partial(_anchors, span=span, k=k, full=False), "anchor bigint, did bigint").groupBy("anchor").agg(F.min("did").alias("x"), F.max("did").alias("y")).where("x < y").select("anchor")
     found = Written(light.mapInArrow(partial(_anchors, span=span, k=k, full=True), "anchor bigint, same bigint, did bigint, rk bigint, first int, windows int").join(shared, "anchor", "left_semi"), "anchors").read()
     owners = Written(found.groupBy("anchor", "same").agg(F.min(F.struct("did", "rk", "first", "windows")).alias("o")).select("anchor", "same", "o.*"), "owners").read()
-    whole = found.join(owners.select("anchor", "same", F.col("did").alias("owner")), ["anchor", "same"]).where("did > owner").select("did", "rk", F.col("first").alias("a"), (F.col("first") + F.col("windows") + span - 1).alias("b"))
+    # all but the owners' first ones; the anchor only where the owner's intervals are asked for
+    own = owners.select("anchor", "same", F.col("did").alias("owner"), F.col("rk").alias("owner_rk"), F.col("first").alias("owner_first"))
+    again = F.col("did") == F.col("owner")
+    others = Written(found.join(own, ["anchor", "same"]).where((F.col("did") > F.col("owner")) | (F.col("rk") != F.col("owner_rk")) | (F.col("first") != F.col("owner_first"))).select(F.when(again, F.col("anchor")).alias("anchor"), F.when(again, F.col("same")).alias("same"), "did", "rk", "first", "windows"), "others").read()
+    whole = others.where("anchor is null").select("did", "rk", F.col("first").alias("a"), (F.col("first") + F.col("windows") + span - 1).alias("b"))
     several = owners.groupBy("anchor").agg(F.count("*").alias("g")).where("g > 1")
-    wanted = Written(owners.join(several, "anchor").groupBy("did", "rk").agg(F.collect_list(F.struct("anchor", "first", "windows", "g")).alias("wanted")), "wanted").read()
+    wanted = Written(owners.join(several, "anchor").groupBy("did", "rk").agg(F.collect_list(F.struct("anchor", "same", "first", "windows", "g")).alias("wanted")), "wanted").read()
     rows = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0)).alias("n")).first()["n"]
-    cut = Written(light.join(_small(wanted, rows), ["did", "rk"]).dropDuplicates(["did", "rk"]).mapInArrow(partial(_cut, span=span, hot=hot), "anchor bigint, did bigint, rk bigint, first int, hot boolean, values array<bigint>"), "segments").read()
+    cut = Written(light.join(_small(wanted, rows), ["did", "rk"]).dropDuplicates(["did", "rk"]).mapInArrow(partial(_cut, span=span, hot=hot), "anchor bigint, same bigint, did bigint, rk bigint, first int, hot boolean, values array<bigint>"), "segments").read()
     searched = cut.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "did", "first").mapInArrow(partial(_search, span=span, block_words=block_words), INTERVALS)
-    windows = cut.where("hot").select("anchor", "did", "rk", "first", F.posexplode("values").alias("i", "window"))
+    windows = cut.where("hot").select("anchor", "same", "did", "rk", "first", F.posexplode("values").alias("i", "window"))
     least = windows.groupBy("anchor", "window").agg(F.min("did").alias("least"), F.max("did").alias("most")).where("least < most")
-    settled = windows.join(least.select("anchor", "window", "least"), ["anchor", "window"]).where("did > least").select("did", "rk", (F.col("first") + F.col("i")).alias("a"), (F.col("first") + F.col("i") + span).alias("b"))
-    return Written(whole.unionByName(searched).unionByName(settled).groupBy("did", "rk").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeats")
+    settled = windows.join(least.select("anchor", "window", "least"), ["anchor", "window"]).where("did > least").select("anchor", "same", "did", "rk", "first", F.col("i").alias("a"), (F.col("i") + span).alias("b"))
+    firsts = Written(searched.unionByName(settled), "firsts").read()
+    further = others.where("anchor is not null").select("anchor", "same", "did", "rk", "first").join(firsts.select("anchor", "same", "a", "b"), ["anchor", "same"])
+    spans = whole.unionByName(firsts.unionByName(further).select("did", "rk", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b")))
+    return Written(spans.groupBy("did", "rk").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeats")
 
 
 def _merge(spans: list[dict]) -> list[tuple[int, int]]:

@@ -114,6 +114,19 @@ def test_substring_dedup(spark, hot, block):
     assert got == removed(rows, 50)
 
 
+@pytest.mark.parametrize("hot", [2000, 0])
+def test_substring_dedup_within_one_document(spark, hot):
+    """A passage of document 1 comes several times in document 2, each time in the same surroundings, which document 1 lacks."""
+    r = random.Random(12)
+    new = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    passage, before, after = new(60), new(40), new(40)
+    quote = before + passage + after
+    rows = [(1, " ".join(new(50) + passage + new(50))), (2, " ".join(quote + new(30) + quote + new(20) + quote)), (2, " ".join(new(70) + quote)), (None, " ".join(new(5) + before[10:] + passage)), (None, " ".join(before[10:] + passage + new(9) + before[10:] + passage)), (7, "ha " * 300)]
+    got = sorted(((1 << 63) - 1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in remove_repeats(frame(spark, rows), hot=hot).collect())
+    assert got == removed(rows, 50)
+    assert [n for d, _, n, _ in got if d == 2] == [60, 180]
+
+
 def test_substring_dedup_of_nothing(spark):
     assert remove_repeats(frame(spark, corpus()).limit(0)).count() == 0
 
