@@ -9,10 +9,9 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-LONGEST = 128
 
 
-def suffix_order(text: np.ndarray, longest: int = LONGEST) -> np.ndarray:
+def suffix_order(text: np.ndarray, longest: int) -> np.ndarray:
     """Suffixes sorted by their first ``longest`` symbols, by prefix doubling; ranges of shorter patterns are contiguous."""
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
@@ -60,7 +59,7 @@ class FMIndex:
         inside[self.start + length] = False
         text[inside] = coded + 1
         self.text, self.length, self.owners, self.n = text, length, owners, n
-        order = suffix_order(text)
+        order = suffix_order(text, int(length.max()))  # no pattern is longer
         last = text[order - 1]
         self.levels: list[Bits] = []
         self.zeros: list[int] = []

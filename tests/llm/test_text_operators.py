@@ -146,6 +146,20 @@ def test_fm_index_reports_all_stretches():
     assert got == want
 
 
+def test_fm_index_tells_long_patterns_apart():
+    """Sequences that part only after 140 words; each comes twice."""
+    r = np.random.default_rng(7)
+    stem = r.integers(0, 3, 140).astype(np.uint64)
+    sequences = [np.concatenate([stem, r.integers(0, 3, 10).astype(np.uint64)]) for _ in range(40)]
+    sequences += sequences[::-1]
+    which, a, b = FMIndex(sequences, np.arange(80)).matches(150)
+    first = {}
+    for i, x in enumerate(sequences):
+        first.setdefault(x.tobytes(), i)
+    want = {i for i, x in enumerate(sequences) if first[x.tobytes()] < i}
+    assert {*which.tolist()} == want and {*a.tolist()} == {0} and {*b.tolist()} == {150}
+
+
 @pytest.mark.parametrize("small", [0, 500_000])
 def test_components(spark, small):
     r = random.Random(5)
