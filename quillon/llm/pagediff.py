@@ -8,10 +8,11 @@ markup has the first word: lines inside menus, headers, footers, sidebars, notic
 always go; a page with an article or main element keeps the lines inside it; on every other page the alignment decides all lines that
 markup leaves open. ``markup=False`` leaves every line to the alignment.
 
-Only line hashes are shuffled for the pairing. A host with more than ``BLOCK`` pages is dealt by a hash of the path into blocks of about
-that many, so no task sorts a whole hot host; a page's neighbour is the nearest of its block.
+Only line hashes are shuffled for the pairing. Hosts with more than ``BLOCK`` pages are cut into ranges of the path order of about that
+many, so no task sorts a whole hot host; each range's first and last page are passed to the ranges beside it, so neighbours are the
+same at every size.
 
-Defined results: null or empty html has the empty text; a page alone in its block loses only what markup marks; repeated rows are one page for
+Defined results: null or empty html has the empty text; a page alone on its host loses only what markup marks; repeated rows are one page for
 the pairing and keep a result each; pages without a parseable URL share one host named by the empty string; null ids are allowed.
 """
 
@@ -204,12 +205,24 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[
         raise ValueError("a column has the name of a result")
     address = F.coalesce(F.col(url).cast("string"), F.lit(""))
     taken = pages.select(*dict.fromkeys(keep), F.col(html).cast("string").alias("html"), F.xxhash64(F.col(url).cast("string"), F.col(html).cast("string")).alias("key"))
-    light = pages.select(F.xxhash64(F.col(url).cast("string"), F.col(html).cast("string")).alias("key"), F.lower(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"), F.regexp_extract(address, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path")).distinct()
-    counts = light.groupBy("host").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = light.join(counts, "host").withColumn("block", F.pmod(F.xxhash64("path"), F.col("blocks")))
-    order = Window.partitionBy("host", "block").orderBy("path", "key")
+    light = Written(pages.select(F.xxhash64(F.col(url).cast("string"), F.col(html).cast("string")).alias("key"), F.lower(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"), F.regexp_extract(address, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path")).distinct(), "places").read()
+    hot = light.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    n = hot.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = F.broadcast(hot.select("host"))  # at most one host for BLOCK pages
+    dealt = light.join(hot, "host", "left_anti").withColumn("range", F.lit(-1))
+    if n:
+        cut = Written(light.join(hot, "host", "left_semi").repartitionByRange(-(-n // BLOCK), "host", "path", "key").withColumn("range", F.spark_partition_id()), "ranges").read()
+        dealt = dealt.unionByName(cut)
+    order = Window.partitionBy("host", "range").orderBy("path", "key")
+    near = dealt.select("host", "range", "key", "path", F.lag("key").over(order).alias("k1"), F.lag("path").over(order).alias("p1"), F.lead("key").over(order).alias("k2"), F.lead("path").over(order).alias("p2"))
+    if n:
+        page = F.struct("path", "key")
+        beside = Window.partitionBy("host").orderBy("range")
+        ends = cut.groupBy("host", "range").agg(F.min(page).alias("first"), F.max(page).alias("last"))  # a row for each range and hot host
+        ends = ends.select("host", "range", F.lag("last").over(beside).alias("before"), F.lead("first").over(beside).alias("after"))
+        or_end = lambda c, end: F.coalesce(c, end).alias(c)
+        near = near.join(F.broadcast(ends), ["host", "range"], "left").select("key", "path", or_end("k1", "before.key"), or_end("p1", "before.path"), or_end("k2", "after.key"), or_end("p2", "after.path"))
     size = lambda a, b: F.length(F.regexp_extract(F.concat_ws("\n", a, b), r"^(.*).*\n\1", 1))
-    near = dealt.select("key", "path", F.lag("key").over(order).alias("k1"), F.lag("path").over(order).alias("p1"), F.lead("key").over(order).alias("k2"), F.lead("path").over(order).alias("p2"))
     pairs = near.select("key", F.when(F.col("k1").isNull() | (F.col("k2").isNotNull() & (size("path", "p2") > size("path", "p1"))), F.col("k2")).otherwise(F.col("k1")).alias("neighbour")).where("neighbour is not null")
     hashes = Written(taken.select("key", "html").mapInArrow(partial(_line_hashes, markup=markup), "key bigint, hashes array<bigint>, open boolean").dropDuplicates(["key"]), "lines").read()
     both = hashes.join(pairs, "key").join(hashes.select(F.col("key").alias("neighbour"), F.col("hashes").alias("other")), "neighbour")

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillon.llm import langid, toxicity, warc
+from quillon.llm import langid, pagediff, toxicity, warc
 from quillon.llm import matroska as mkv
 from quillon.llm.pack import pack, plan
 from quillon.llm.pagediff import MAIN, common, extract, lines
@@ -113,6 +113,23 @@ def test_differencing_without_markup(spark):
     assert [tuple(r) for r in got] == want
 
 
+def test_neighbours_on_hosts_in_several_ranges(spark, monkeypatch):
+    """Two pages a section: only the true neighbour shares the section's menu, however many pages the host has."""
+    page = lambda h, s, i: f"<div>Site</div><div>Section {h} {s}</div><div>{h} {s} {i} own</div>"
+    rows = [(h * 1000 + s * 10 + i, f"http://h{h}/s{s:02}/{i}", page(h, s, i)) for h in range(2) for s in range(20) for i in range(2)]
+    rows += [rows[7], (5000, "http://small/1", page(9, 9, 1)), (5001, "http://small/2", page(9, 9, 2))]
+    r = random.Random(5)
+    rows += [(6000 + i, f"http://h3/{r.randrange(40):06b}", "".join(f"<div>line {r.randrange(12)}</div>" for _ in range(8))) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    got = {}
+    for block in (2048, 16, 3, 1):
+        monkeypatch.setattr(pagediff, "BLOCK", block)
+        got[block] = sorted(tuple(x) for x in extract(pages).select("page_id", "main_text").collect())
+        assert [t for d, t in got[block] if d < 5000] == [f"{d // 1000} {d % 1000 // 10} {d % 10} own" for d, _ in got[block] if d < 5000]
+        assert got[block] == got[2048]
+    assert len(got[2048]) == len(rows)
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_plan_keeps_every_capacity(rule):
     r = random.Random(6)
