@@ -9,8 +9,8 @@ or more are the contaminated spans. Items of fewer than ten words are looked up
 The benchmark goes to the executors in blocks of at most ``block_bytes`` of text (a single larger item is a block of its
 own); with several blocks the pass is chained, still without a shuffle. Documents are never collected or moved.
 
-Defined results: a null or empty text has no words and no hits; an item without words is ignored; repeated rows are judged
-each on its own; an empty table gives an empty result. Only the id, text and ``keep`` columns are read; an output name that
+Defined results: a null or empty text has no words and no hits; an item without words is ignored; items without an id
+hit like others and count as one item, which item_ids leaves out; repeated rows are judged each on its own; an empty table gives an empty result. Only the id, text and ``keep`` columns are read; an output name that
 is also in ``keep`` raises ValueError.
 """
 
@@ -53,7 +53,7 @@ def winnow(w: W.Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np
 class Index:
     """Fingerprints and words of a block of benchmark items."""
 
-    def __init__(self, ids: list[str], texts: list[str], span: int = SPAN, k: int = K):
+    def __init__(self, ids: list[str | None], texts: list[str], span: int = SPAN, k: int = K):
         self.span, self.k, self.window = span, k, span - k + 1
         w = W.Words(*W.raw(pa.array(texts, pa.string())), W.ALNUM, True)
         counts = w.counts()
@@ -135,35 +135,38 @@ def _scan(batches: Iterator[pa.RecordBatch], shipped, text: str, span: int, k: i
     index = Index(*shipped.value, span, k)
     for part, w in W.tables(batches, text, W.ALNUM, True):
         found = index.hits(w)
-        runs, items = part.column("hit_spans").to_pylist(), part.column("item_ids").to_pylist()
+        runs, items, counts = (part.column(n).to_pylist() for n in ("hit_spans", "item_ids", "n_items"))
         for doc, hits in found.items():
             old = [(x["start"], x["end"]) for x in runs[doc]]
             runs[doc] = [{"start": s, "end": e} for s, e in _merge(old + [(s, e) for s, e, _ in hits])]
-            items[doc] = sorted({*items[doc], *(index.ids[i] for _, _, i in hits)})
-        own = {"n_words": pa.array(w.counts(), pa.int64()), "hit_spans": pa.array(runs, SPAN_TYPE), "item_ids": pa.array(items, pa.list_(pa.string()))}
+            ids = {index.ids[i] for _, _, i in hits}
+            nameless = None in ids or counts[doc] > len(items[doc])
+            items[doc] = sorted({*items[doc], *ids} - {None})
+            counts[doc] = len(items[doc]) + nameless
+        own = {"n_words": pa.array(w.counts(), pa.int64()), "hit_spans": pa.array(runs, SPAN_TYPE), "item_ids": pa.array(items, pa.list_(pa.string())), "n_items": pa.array(counts, pa.int64())}
         yield pa.RecordBatch.from_arrays([own[f.name] if f.name in own else part.column(f.name) for f in schema], schema=schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """keep columns and text, with n_words, hit_spans (merged word ranges) and item_ids (sorted as strings)."""
-    own = ("n_words", "hit_spans", "item_ids")
+    """keep columns and text, with n_words, hit_spans (merged word ranges), item_ids (sorted as strings) and n_items."""
+    own = ("n_words", "hit_spans", "item_ids", "n_items")
     if clash := {*keep, text} & {*own}:
         raise ValueError(f"columns named like results: {sorted(clash)}")
     if not 1 <= k <= span:
         raise ValueError("k must lie in 1..span")
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull() & F.col("i").isNotNull())
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     columns = list(dict.fromkeys([*keep, text]))
-    out = docs.select(*columns, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("hit_spans"), F.expr("cast(array() as array<string>)").alias("item_ids"))
+    out = docs.select(*columns, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("hit_spans"), F.expr("cast(array() as array<string>)").alias("item_ids"), F.lit(0).cast("long").alias("n_items"))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
     arrow = pa.schema([pa.field(f.name, SPAN_TYPE if f.name == "hit_spans" else f.type) for f in arrow])
     for b in range(blocks):  # each at most a bounded block on the driver and in a worker
-        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
         shipped = spark.sparkContext.broadcast(([r["i"] for r in rows], [r["t"] for r in rows]))
         out = out.mapInArrow(partial(_scan, shipped=shipped, text=text, span=span, k=k, schema=arrow), schema)
     return out

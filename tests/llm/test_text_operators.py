@@ -7,11 +7,13 @@ import random
 import re
 import string
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillon.llm import queries
 from quillon.llm import words as W
 from quillon.llm.components import components
@@ -92,6 +94,27 @@ def test_decontamination(spark):
         decontaminate(frame(spark, rows), bench, keep=("doc_id", "n_words"))
 
 
+def test_benchmark_items_without_an_id(spark, tmp_path):
+    r = random.Random(14)
+    new = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    named, nameless, other = new(20), new(20), new(20)
+    docs = [(1, " ".join(new(5) + nameless + new(5))), (2, " ".join(named + new(4) + nameless[3:15])), (3, " ".join(named)), (4, " ".join(new(30))), (5, " ".join(other + nameless)), (6, "short item")]
+    items = [(7, " ".join(named)), (None, " ".join(nameless)), (None, " ".join(other)), (None, "short item"), (None, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for n in ("documents", "benchmark"):
+        con.sql(f"create view {n} as select * from read_parquet('{tmp_path}/{n}.parquet/*.parquet')")
+    got = queries.op1_decontaminate(spark, str(tmp_path))
+    want = con.sql(queries.oracle_sql()["op1_decontaminate"]).df()[got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(want.itertuples(index=False, name=None))
+    assert corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), str(tmp_path)).toPandas()["doc_id"].tolist() == [4]
+    for size in (1 << 20, 60):  # one block and several
+        found = {x["doc_id"]: (x["n_items"], x["item_ids"]) for x in decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), bench, block_bytes=size).collect()}
+        assert found == {1: (1, []), 2: (2, ["7"]), 3: (1, ["7"]), 4: (0, []), 5: (1, []), 6: (1, [])}
+
+
 def removed(rows, span):
     first = {}
     order = lambda d: (1 << 63) - 1 if d is None else d
