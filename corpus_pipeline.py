@@ -1,7 +1,7 @@
 """A training-corpus pipeline of five stages; each works on all that the one before kept.
 
 toxicity: documents scored 0.5 or more go. near_duplicates: of every group linked at a similarity of 0.8 on five-word shingles the document
-with the smallest id stays. decontamination: documents with a benchmark passage go. secrets: secret values are replaced by a mark. packing: the documents
+with the smallest id stays, of equal rows one. decontamination: documents with a benchmark passage go. secrets: secret values are replaced by a mark. packing: the documents
 become sequences of at most 4096 tokens. Every stage but the last returns the columns of documents.
 
 Null texts count as empty: they have no toxic window, no duplicates, no passage and no secret, and so stay. Rows with a null id stay.
@@ -38,9 +38,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # rows of one id are told apart by their text; equal rows are one document
-    found = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+    rows = _packed(docs).withColumn("_id", F.col("_row.doc_id").cast("long"))
+    again = Written(rows.where("_id is not null").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id", F.lit(True).alias("_again")), "repeated-ids").read()
+    if again.isEmpty():
+        found = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+        return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+    # rows of one id are told apart by their text, under a hash of both; equal rows are one document
+    rows = rows.join(again, "_id", "left").withColumn("_n", F.when(F.col("_again"), F.xxhash64("_id", "text")).otherwise(F.col("_id")))
+    found = Written(near_duplicates(rows, doc_id="_n").where("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("_n"), "component_id").distinct(), "components").read()
+    names = rows.where("_again").select("_n", "_id").distinct()
+    named = found.join(names, "_n", "left").select("component_id", F.struct(F.coalesce("_id", "_n").alias("id"), "_n").alias("row"))
+    least = named.groupBy("component_id").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least < most")
+    gone = named.join(least, "component_id").where("row > least").select("row._n").distinct()
+    rest = rows.join(gone, "_n", "left_anti")
+    copies = F.coalesce(F.col("_again") & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))  # texts without a word have no duplicates
+    return _unpacked(rest.where(~copies).unionByName(rest.where(copies).dropDuplicates(["_n"])), docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

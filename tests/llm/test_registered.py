@@ -46,3 +46,15 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(DATA)).toPandas()
     assert packed["doc_id"].nunique() == before
     assert packed.groupby("sequence_id")["length"].sum().max() <= 4096
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    """Rows of one id: a near copy goes alone, of equal rows one stays, rows without an id or a word all stay."""
+    text = lambda tag, n=60: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(1, text("a")), (5, text("a") + " end"), (5, text("b")), (6, text("c")), (6, text("c")), (7, text("c")), (8, text("d")), (8, text("d").upper()), (9, text("e")), (10, text("b")), (3, text("f")), (3, text("g")), (2, text("g"))]
+    rows += [(None, text("a")), (None, text("a")), (11, ""), (11, ""), (11, None), (11, None)]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id bigint, text string, n_chars int").repartition(3)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    got = sorted((str(r["doc_id"]), (r["text"] or "")[:2].lower()) for r in out.collect())
+    assert out.columns == docs.columns
+    assert got == sorted([("1", "a0"), ("5", "b0"), ("6", "c0"), ("8", "d0"), ("9", "e0"), ("3", "f0"), ("2", "g0"), ("None", "a0"), ("None", "a0"), *[("11", "")] * 4])
