@@ -45,9 +45,12 @@ def shingle_sets(w: W.Words, k: int) -> list[np.ndarray]:
     cut = np.searchsorted(at, w.offsets)
     out = [np.unique(h[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
     counts = w.counts()
-    for i in np.flatnonzero((counts > 0) & (counts < k)).tolist():
-        a, b = w.offsets[i : i + 1], w.offsets[i + 1 : i + 2]
-        out[i] = W.sequence_hash(w.hash, a, b)
+    for n in range(1, k):
+        few = np.flatnonzero(counts == n)
+        if len(few):
+            whole = W.sequences(w.hash, n)
+            for i in few.tolist():
+                out[i] = whole[w.offsets[i] : w.offsets[i] + 1]
     return out
 
 

@@ -162,7 +162,7 @@ def common(a: list[int], b: list[int]) -> list[int]:
 
 def _hashes(texts: list[str]) -> list[int]:
     data, bounds = W.raw(pa.array(texts, pa.string()))
-    return W.spans(W._BYTE[data], W._BYTES, bounds[:-1], bounds[1:]).view(np.int64).tolist()
+    return W.hashes(data, bounds[:-1], bounds[1:]).view(np.int64).tolist()
 
 
 def judged(page: str | None, markup: bool) -> list[tuple[str, int]]:

@@ -68,7 +68,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], span: int, k: int, full: bool) -
         did = part.column("did").to_numpy()[doc]
         if full:
             rk = part.column("rk").to_numpy()[doc]
-            same = W.sequence_hash(w.hash, first, first + count + span - 1)
+            same = W.stretches(w.hash, span, first, count) if len(first) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(same.view(np.int64)), pa.array(did), pa.array(rk), pa.array((first - w.offsets[doc]).astype(np.int32)), pa.array(count.astype(np.int32))], names=["anchor", "same", "did", "rk", "first", "windows"])
         else:
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(did)], names=["anchor", "did"])
@@ -79,13 +79,14 @@ def _cut(batches: Iterator[pa.RecordBatch], span: int, hot: int) -> Iterator[pa.
     longs = pa.list_(pa.int64())
     for part, w in W.tables(batches, "text", W.NONSPACE, False):
         rows: list[list] = [[] for _ in range(7)]
+        windows = None
         did, rk = part.column("did").to_pylist(), part.column("rk").to_pylist()
         for i, wanted in enumerate(part.column("wanted").to_pylist()):
             for x in wanted:
                 a = int(w.offsets[i]) + x["first"]
                 if x["g"] > hot:
-                    at = np.arange(a, a + x["windows"])
-                    values = W.sequence_hash(w.hash, at, at + span)
+                    windows = W.sequences(w.hash, span) if windows is None else windows
+                    values = windows[a : a + x["windows"]]
                 else:
                     values = w.hash[a : a + x["windows"] + span - 1]
                 for column, v in zip(rows, (x["anchor"], x["same"], did[i], rk[i], x["first"], x["g"] > hot, values.view(np.int64)), strict=True):

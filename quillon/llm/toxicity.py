@@ -58,8 +58,7 @@ def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray, bits: int = B
             pick = np.flatnonzero(left[:m] >= n)
             rows.append((W.mix(h[pick] + np.uint64(n)) >> np.uint64(64 - bits)).astype(np.int32))
             owner.append(word[pick])
-    whole = W.spans(W._BYTE[data], W._BYTES, start, end)
-    rows.append((W.mix(whole) >> np.uint64(64 - bits)).astype(np.int32))
+    rows.append((W.hashes(data, start, end) >> np.uint64(64 - bits)).astype(np.int32))
     owner.append(np.arange(len(size)))
     return np.concatenate(rows), np.concatenate(owner)
 

@@ -2,11 +2,12 @@
 
 Words are maximal runs of word bytes. Every separator class used here lies in ASCII, so splitting the
 UTF-8 bytes gives the same words as splitting the code points. Work goes in slices of bounded bytes; one
-slice holds at least one whole text.
+slice holds at least one whole text, and a text takes some ten bytes of memory for each of its own, some sixty for each word.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,17 +15,13 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 U = np.uint64
-_M, _Q = U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93)
-
-
-def _inverse(x: np.uint64) -> np.uint64:
-    return U(pow(int(x), -1, 1 << 64))
-
-
-_RANDOM = np.random.default_rng(20240229)
-_BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Keeps the first n of eight bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+_LENGTH, _SEED, _PAIR = U(0x9E3779B97F4A7C15), U(0x2545F4914F6CDD1D), U(0xD6E8FEB86659FD93)
+#: Longer words are hashed one at a time, so that a text without a blank costs no loop of numpy calls.
+LONG = 512
 
 
 def _class(word: list[tuple[int, int]]) -> np.ndarray:
@@ -40,25 +37,6 @@ ALNUM = _class([(0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)])
 NONSPACE = ~_class([(0x20, 0x20), (0x09, 0x0D)])
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse, grown on demand."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.up, self.down = base, np.ones(1, U), np.ones(1, U)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, b in (("up", self.base), ("down", _inverse(self.base))):
-                x = np.full(size, b, U)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x))
-        return self.up[:n], self.down[:n]
-
-
-_BYTES, _WORDS = _Powers(_M), _Powers(_Q)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = x ^ (x >> U(30))
@@ -68,12 +46,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def spans(values: np.ndarray, powers: _Powers, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for each pair, equal for equal contents wherever they lie."""
-    up, down = powers.get(len(values) + 1)
-    total = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(0x2545F4914F6CDD1D))
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of data[start:end] for each pair. Every eight bytes go through a finaliser that the next eight start from, so different contents
+    have equal hashes by chance alone: no sum over bytes is left in which they could cancel. Up to eight bytes of one length never collide."""
+    size = end - start
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))  # the eight bytes from each place
+    h = mix(size.astype(U) * _LENGTH + _SEED)
+    rest, done = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(rest):
+        h[rest] = mix(h[rest] ^ (eight[start[rest] + done] & _FIRST[np.minimum(size[rest] - done, 8)]))
+        done += 8
+        rest = rest[size[rest] > done]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def sequences(word_hash: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every k words in a row, by doubling: two neighbours' hashes go through the finaliser together."""
+    power, size, out, taken, rest = word_hash, 1, None, 0, k
+    while True:
+        if rest & 1:
+            out = power if out is None else _joined(out, power, taken)
+            taken += size
+        rest >>= 1
+        if not rest:
+            break
+        power, size = _joined(power, power, size), 2 * size
+    return mix(out + U(k * int(_LENGTH) & (1 << 64) - 1))
+
+
+def stretches(word_hash: np.ndarray, k: int, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hash of the words under count windows of k words in a row, each from its first on; count is at most k + 1, so the two outer windows hold them all."""
+    h = sequences(word_hash, k)
+    return mix(mix(h[first] * _PAIR + h[first + count - 1]) ^ (count.astype(U) * _LENGTH))
+
+
+def _joined(a: np.ndarray, b: np.ndarray, apart: int) -> np.ndarray:
+    n = max(0, min(len(a), len(b) - apart))
+    return mix(a[:n] * _PAIR + b[apart : apart + n])
 
 
 class Words:
@@ -93,7 +104,7 @@ class Words:
         after[:-1] = inside[1:]
         self.end = np.flatnonzero(inside & (~after | cut[1:])) + 1
         self.offsets = np.searchsorted(self.start, bounds)
-        self.hash = spans(_BYTE[data], _BYTES, self.start, self.end)
+        self.hash = hashes(data, self.start, self.end)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.offsets)
@@ -109,7 +120,7 @@ class Words:
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the k-grams that lie in one text, and their hashes."""
         at = np.flatnonzero(self.left() >= k)
-        return at, spans(self.hash, _WORDS, at, at + k)
+        return at, sequences(self.hash, k)[at] if len(at) else np.zeros(0, U)
 
     def text(self, a: int, b: int) -> bytes:
         """Words a:b joined by one space."""
@@ -117,10 +128,6 @@ class Words:
         return b" ".join(data[s:e].tobytes() for s, e in zip(self.start[a:b], self.end[a:b], strict=True))
 
 
-def sequence_hash(word_hash: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return spans(word_hash, _WORDS, start, end)
-
-
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and text bounds of a string array; null is empty."""
     if texts.null_count:
