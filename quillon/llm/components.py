@@ -55,11 +55,13 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(edges: DataFrame, a: str, b: str, small: int = SMALL) -> DataFrame:
+def component_table(edges: DataFrame, a: str, b: str, small: int = SMALL) -> Written:
     """(node, component): for each node of an edge the least node it reaches. Null ends and loops are ignored."""
     now = Written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")), "edges")
     if now.read().count() <= small:
-        return now.read().coalesce(1).mapInArrow(_join, "node bigint, component bigint")
+        found = Written(now.read().coalesce(1).mapInArrow(_join, "node bigint, component bigint"), "components")
+        now.drop()
+        return found
     mark = None
     while True:
         found = _mark(now.read())
@@ -72,4 +74,10 @@ def components(edges: DataFrame, a: str, b: str, small: int = SMALL) -> DataFram
         now.drop()
         now = then
     stars = now.read()
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = Written(stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    now.drop()
+    return out
+
+
+def components(edges: DataFrame, a: str, b: str, small: int = SMALL) -> DataFrame:
+    return component_table(edges, a, b, small).read()
