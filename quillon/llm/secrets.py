@@ -1,21 +1,27 @@
 """Secret scans by assignment-aware lexing.
 
-Three fixed patterns give the base spans. Beside them the text is lexed as source or configuration: around every assignment sign the
-target name and the right-hand side are read, the right-hand side being string literals joined by ``+``, bare values, or names of
+Three fixed patterns give the base spans. Beside them the text is lexed as source or configuration, once from left to right: before every
+assignment sign stands the target name, after it the right-hand side, which is string literals joined by ``+``, bare values, or names of
 constants assigned earlier in the same text, which are propagated. A literal is scored by how sensitive its target name is and by
 how far it looks drawn at random; those that reach ``threshold`` and that no base span covers give ``pair`` spans.
 
-Defined results: a null or empty text has no spans; each row stands alone, so repeated rows repeat their spans; an empty table
-gives an empty result. Positions are code points of the whole text, ends exclusive. Output names in ``keep`` raise ValueError.
+A constant is kept as the places of its literals and the counts of its characters, never as joined text, and is written out at most once,
+so time and memory grow with the text alone, also where it has no blank or where constants double from line to line.
+
+Defined results: a null or empty text has no spans; each row stands alone, so repeated rows repeat their spans; texts of any length are read
+whole; an empty table gives an empty result. Positions are code points of the whole text, ends exclusive. Output names in ``keep`` raise
+ValueError; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +41,12 @@ KINDS = ("assign", "access", "hex", "pair")
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.8, "credentials": 0.8, "privatekey": 1.0, "accesskey": 1.0, "auth": 0.6, "bearer": 0.8, "key": 0.5, "salt": 0.4}
 THRESHOLD = 0.6
 
-_SIGN = re.compile(r"=>|:=|[=:]")
-_NAME = re.compile(r"([A-Za-z_$][\w$.-]*)[\"'\])]*[ \t]*\Z", re.A)
-_LITERAL = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z0-9_$][\w$.+/=@-]*))""", re.A)
-_PLUS = re.compile(r"[ \t]*\+(?=[ \t]*[\"'`A-Za-z_$])")
+#: A target name, what may close it, and the sign. Nothing is given back once read, so a long name is read once.
+_TARGET = re.compile(r"""(?<![\w$.-])[0-9.-]*+([A-Za-z_$][\w$.-]*+)["'\])]*+[ \t]*+(?:=>|:=|[=:])""", re.A)
+#: A quoted string, or a bare value with the padding of base64.
+_LITERAL = re.compile(r"""[ \t]*+(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`\n]*+)`|([A-Za-z0-9_$][\w$.+/@-]*+={0,2}+))""", re.A)
+_PLUS = re.compile(r"[ \t]*+\+(?=[ \t]*+[\"'`A-Za-z_$])")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _HEXLUT = W._class([(0x30, 0x39), (0x61, 0x66)])
 
 
@@ -55,49 +63,89 @@ def base_spans(text: str, hexed: bool = True) -> list[tuple[int, int, str, int,
     return out
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(target name, value, places of the literals that make it up) of every assignment, constants propagated."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    for sign in _SIGN.finditer(text):
-        at = sign.start()
-        line = max(text.rfind("\n", 0, at), text.rfind(" ", 0, max(0, at - 1)), text.rfind("\t", 0, max(0, at - 1))) + 1
-        head = text[line:at]
-        if not head.strip(" \t"):  # blanks before the sign
-            back = len(text[:at].rstrip(" \t")) if at < 256 else at - 256 + len(text[at - 256 : at].rstrip(" \t"))
-            line = max(text.rfind(c, 0, back) for c in "\n \t") + 1
-            head = text[line:back]
-        name = _NAME.search(head)
-        if not name:
-            continue
-        to, value, places = sign.end(), "", []
-        while lit := _LITERAL.match(text, to):
-            group = next(i for i in (1, 2, 3, 4) if lit[i] is not None)
-            if group < 4:
-                value, places = value + lit[group], [*places, lit.span(group)]
-            elif lit[4] in known:
-                value, places = value + known[lit[4]][0], [*places, *known[lit[4]][1]]
+class Value:
+    """A literal, or several joined: places in the text and counts of characters."""
+
+    __slots__ = ("_counts", "parts", "place", "text")
+
+    def __init__(self, text: str, place: tuple[int, int] | None = None, parts: list[Value] | None = None):
+        self.text, self.place, self.parts, self._counts = text, place, parts, None
+        if parts:
+            self._counts = sum((p.counts() for p in parts), Counter())
+
+    def counts(self) -> Counter:
+        if self._counts is None:
+            self._counts = Counter(self.text[self.place[0] : self.place[1]])
+        return self._counts
+
+    def literals(self, seen: set[int] | None = None) -> Iterator[tuple[int, int]]:
+        """Places in order; with ``seen`` those of values that are not in it yet."""
+        todo = [self]
+        while todo:
+            v = todo.pop()
+            if seen is not None:
+                if id(v) in seen:
+                    continue
+                seen.add(id(v))
+            if v.parts:
+                todo += v.parts[::-1]
             else:
-                value, places = value + lit[4], [*places, lit.span(4)]
-            to = lit.end()
-            plus = _PLUS.match(text, to)
-            if not plus:
-                break
-            to = plus.end()
-        if places:
-            known[name[1]] = (value, places)
-            yield name[1], value, places
-
-
-def score(name: str, value: str) -> float:
-    """0 to 1: sensitivity of the name times the look of the value."""
-    parts = [p.lower() for p in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)]
-    joined = [*parts, *("".join(x) for x in zip(parts, parts[1:], strict=False))]
-    weight = max((SENSITIVE[p] for p in joined if p in SENSITIVE), default=0.0)
-    if not weight or len(value) < 8 or any(c.isspace() for c in value):
+                yield v.place
+
+
+def assignments(text: str, least: float = 0.0) -> Iterator[tuple[str, Value]]:
+    """(target name, value) of every assignment to a name of at least this weight, constants propagated."""
+    known: dict[str, Value | tuple[int, int]] = {}  # a single literal is its place until someone asks for it
+
+    def value(found: str | tuple[int, int]) -> Value:
+        if isinstance(found, tuple):
+            return Value(text, found)
+        if isinstance(known[found], tuple):
+            known[found] = Value(text, known[found])
+        return known[found]
+
+    for sign in _TARGET.finditer(text):
+        lit = _LITERAL.match(text, sign.end())
+        if not lit:
+            continue
+        name, parts = sign[1], []
+        while lit:
+            group = lit.lastindex
+            parts.append(lit[4] if group == 4 and lit[4] in known else lit.span(group))
+            plus = _PLUS.match(text, lit.end())
+            lit = plus and _LITERAL.match(text, plus.end())
+        if len(parts) > 1:
+            known[name] = Value(text, None, [value(x) for x in parts])
+        elif isinstance(parts[0], str):
+            known[name] = value(parts[0])
+        else:
+            known[name] = parts[0]
+        if weight(name) >= least:
+            yield name, value(name)
+
+
+def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+    """(target name, value, places of the literals that make it up) of every assignment, written out in full."""
+    for name, value in assignments(text):
+        places = list(value.literals())
+        yield name, "".join(text[a:b] for a, b in places), places
+
+
+@lru_cache(4096)
+def weight(name: str) -> float:
+    """Sensitivity of a target name, 0 to 1."""
+    parts = [p.lower() for p in _PART.findall(name)]
+    return max((SENSITIVE[p] for p in (*parts, *map("".join, zip(parts, parts[1:], strict=False))) if p in SENSITIVE), default=0.0)
+
+
+def look(counts: Counter) -> float:
+    """0 to 1: how far a value with these characters looks drawn at random."""
+    size = counts.total()
+    if size < 8 or any(c.isspace() for c in counts):
         return 0.0
-    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    kinds = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
-    return weight * min(1.0, bits / 3.0) * (1.0 if kinds >= 2 else 0.5)
+    bits = -sum(n / size * math.log2(n / size) for n in counts.values())
+    kinds = {"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "-" for c in counts}
+    return min(1.0, bits / 3.0) * (1.0 if len(kinds) >= 2 else 0.5)
 
 
 def scan(text: str | None, hexed: bool = True, threshold: float = THRESHOLD) -> list[dict]:
@@ -107,14 +155,23 @@ def scan(text: str | None, hexed: bool = True, threshold: float = THRESHOLD) ->
     out = base_spans(text, hexed)
     rows = [{"kind": k, "start": s, "end": e, "value_start": v, "name": n, "score": 1.0} for s, e, k, v, n in out]
     if "=" in text or ":" in text:
-        seen = set()
-        for name, value, places in pairs(text):
-            got = score(name, value)
+        starts = sorted(x[0] for x in out)
+        reach = list(accumulate((e for _, e in sorted((x[0], x[1]) for x in out)), max))  # the furthest end of the spans so far
+        written: set[int] = set()
+        places: set[tuple[int, int]] = set()
+        held: list[Value] = []  # keeps the ids in written from being used again
+        looks: dict[int, float] = {}
+        for name, value in assignments(text, threshold):
+            if id(value) not in looks:
+                held.append(value)
+                looks[id(value)] = look(value.counts())
+            got = weight(name) * looks[id(value)]
             if got < threshold:
                 continue
-            for s, e in places:
-                if (s, e) not in seen and e > s and not any(a <= s and e <= b for a, b, *_ in out):
-                    seen.add((s, e))
+            for s, e in value.literals(written):
+                i = bisect_right(starts, s)
+                if (s, e) not in places and e > s and not (i and reach[i - 1] >= e):
+                    places.add((s, e))
                     rows.append({"kind": "pair", "start": s, "end": e, "value_start": s, "name": name, "score": got})
     return sorted(rows, key=lambda r: (r["start"], KINDS.index(r["kind"]), r["end"]))
 
