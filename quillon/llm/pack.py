@@ -1,8 +1,10 @@
 """Best-fit packing of documents into training sequences under several capacities at once.
 
 A sequence has capacities of tokens, documents and attention cost (the sum of squared piece lengths). Pieces go longest first; each
-goes to the open sequence, feasible under every constraint, that its residual vector makes best: the least weighted residual norm
-after placing (``norm``) or the greatest weighted dot product of demand and residual (``dot``).
+goes to the open sequence, feasible under every constraint, that its residual vector makes best, every capacity counted as 1 and weighted by
+``weights``: the least norm of what is left after placing (``norm``) or the least dot product of the demand and what is left before (``dot``).
+The defaults: ``MAX_DOCS`` documents; ``MAX_ATTENTION``, the least cost that lets in a piece of MAX_TOKENS, which pieces of as many tokens in all can't pass, so
+that its residual steers the choice but never closes a sequence that has room for more tokens.
 
 Pieces of one length are alike, so only the histogram of lengths, at most ``max_tokens`` rows whatever the corpus size, is packed on
 the driver, whole classes of like sequences at a time. It gives runs (length, ranks, sequences, offset); every executor then places its
@@ -11,7 +13,8 @@ that a third of all pieces share is no hot key. Token counts are written to the
 passes.
 
 Defined results: a null or empty text is the end-of-document id alone; repeated rows are packed each on its own; null ids are kept;
-an empty table gives an empty result.
+an empty table gives an empty result; a text of any length is tokenised whole; output names in ``keep`` raise ValueError, other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from quillon.llm import words as W
 from quillon.llm.store import Written
 
 MAX_TOKENS, END_ID = 4096, 1
+MAX_DOCS, MAX_ATTENTION = 1024, MAX_TOKENS**2
+WEIGHTS = (1.0, 0.25, 0.25)  # of tokens, documents, attention cost
 RUN_BLOCK = 500_000  # runs shipped at once: 20 MB
 
 
@@ -81,8 +86,8 @@ def plan(histogram: dict[int, int], max_tokens: int = MAX_TOKENS, max_docs: int
             if len(fits):
                 if rule == "norm":
                     pick = fits[np.argmin((((room[fits] - need) * weight) ** 2).sum(axis=1))]
-                else:  # the dot product, turned so that the fullest feasible sequence wins
-                    pick = fits[np.argmax(((cap - room[fits]) * weight * need * weight).sum(axis=1))]
+                else:
+                    pick = fits[np.argmin((room[fits] * weight * need * weight).sum(axis=1))]
                 r, f, c = room[pick].copy(), int(first[pick]), int(count[pick])
                 room, first, count = np.delete(room, pick, 0), np.delete(first, pick), np.delete(count, pick)
             else:
@@ -135,8 +140,8 @@ def _place(batches: Iterator[pa.RecordBatch], shipped, schema: pa.Schema) -> Ite
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def pack(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), max_tokens: int = MAX_TOKENS, max_docs: int | None = None, max_attention: int | None = None, end_id: int = END_ID, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> DataFrame:
-    """A row for each piece: keep columns, piece, start, length, ids_crc32, sequence_id and offset."""
+def pack(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), max_tokens: int = MAX_TOKENS, max_docs: int | None = MAX_DOCS, max_attention: int | None = None, end_id: int = END_ID, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+    """A row for each piece: keep columns, piece, start, length, ids_crc32, sequence_id and offset. max_docs None is no bound, max_attention None is max_tokens**2."""
     spark = docs.sparkSession
     own = T._parse_datatype_string(f"{PIECES}, _part bigint, _rank bigint")
     if clash := {*keep} & {*own.fieldNames(), "sequence_id", "offset"}:
