@@ -5,7 +5,9 @@ groups, undoes all four lacings and gives each packet its track, timestamp and b
 sliced when asked for. The writer stores a byte payload losslessly as 8-bit PCM samples.
 
 Defined results: a null text is the empty text, whose payload is one padded frame; a null media value has no packets; damaged
-media raises ValueError in ``parse`` and gives null columns in ``packet_table``. Each row stands alone.
+media raises ValueError in ``parse`` and gives null columns in ``read_media`` and ``packet_table``. Each row stands alone, so repeated rows give
+equal files; a text of any length is one file, in memory whole; an empty table gives an empty result; output names in ``keep`` raise
+ValueError, other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillon.llm import words as W
+from quillon.llm.store import Written
 
 # Element ids of the format.
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, CUES, CUE, CUE_AT = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0x1F43B675, 0x1C53BB6B, 0xBB, 0xB7
@@ -291,37 +294,66 @@ def feature(media: Media, samples: bytes) -> str:
     return f"packets={len(media.packets)};clusters={len({p.cluster for p in media.packets})};cues={len(media.cues)};ms={round(media.duration * 1000)};sum={int(x.sum())};energy={int((x * x).sum())};turns={int(((x[1:] >= 0) != (x[:-1] >= 0)).sum())}"
 
 
-def _store(batches: Iterator[pa.RecordBatch], text: str, kept: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for part in W.slices(batches, text):
-        rows: dict[str, list] = {n: [] for n in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        media_column = []
         data, bounds = W.raw(W.column(part, text))
         whole = data.tobytes()
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            stored = write(padded(whole[a:b]))
-            media = parse(stored)
-            back = payload(stored, media)
-            for name, x in zip(rows, (b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(media, back)), strict=True):
-                rows[name].append(x)
-            media_column.append(stored)
-        own = {n: pa.array(rows[n], schema.field(n).type) for n in rows}
-        if "media" in schema.names:
-            own["media"] = pa.array(media_column, pa.binary())
+        own = {"n_bytes": pa.array(np.diff(bounds), pa.int64()), "media": pa.array([write(padded(whole[a:b])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())}
         yield pa.RecordBatch.from_arrays([own[f.name] if f.name in own else part.column(f.name) for f in schema], schema=schema)
 
 
-COLUMNS = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+def write_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep columns, n_bytes and media, the file that holds the text's padded bytes."""
+    taken = docs.select(*dict.fromkeys([*keep, text]))
+    own = T._parse_datatype_string("n_bytes bigint, media binary")
+    if clash := {*keep} & {*own.fieldNames()}:
+        raise ValueError(f"columns named like results: {sorted(clash)}")
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in taken.schema if f.name in keep), *own])
+    return taken.mapInArrow(partial(_write, text=text, schema=to_arrow_schema(schema)), schema)
 
 
-def store_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_media: bool = True) -> DataFrame:
-    """keep columns, the media file of each text (with_media) and what is read back from it."""
-    columns = list(dict.fromkeys([*keep, text]))
-    taken = docs.select(*columns)
-    own = T._parse_datatype_string(COLUMNS + (", media binary" if with_media else ""))
+COLUMNS = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+
+
+def _read(batches: Iterator[pa.RecordBatch], media: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in COLUMNS.split(", ")]
+    for part in W.slices(batches, media):
+        rows = []
+        for stored in W.column(part, media):
+            data = stored.as_py()
+            try:
+                found = parse(data) if data is not None else None
+            except ValueError:
+                found = None
+            if found is None:
+                rows.append((None,) * len(names))
+                continue
+            back = payload(data, found)
+            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(found, back)))
+        own = {n: pa.array([r[i] for r in rows], schema.field(n).type) for i, n in enumerate(names)}
+        yield pa.RecordBatch.from_arrays([own[f.name] if f.name in own else part.column(f.name) for f in schema], schema=schema)
+
+
+def read_media(files: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
+    """keep columns and what the stored bytes of the first track say; nulls for null or damaged media."""
+    own = T._parse_datatype_string(COLUMNS)
     if clash := {*keep} & {*own.fieldNames()}:
         raise ValueError(f"columns named like results: {sorted(clash)}")
+    taken = files.select(*dict.fromkeys([*keep, media]))
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in taken.schema if f.name in keep), *own])
-    return taken.mapInArrow(partial(_store, text=text, kept=list(keep), schema=to_arrow_schema(schema)), schema)
+    return taken.mapInArrow(partial(_read, media=media, schema=to_arrow_schema(schema)), schema)
+
+
+def store_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_media: bool = True) -> DataFrame:
+    """keep columns, n_bytes, the media file of each text (with_media) and what is read back from it, once the files are written to the shared folder."""
+    if clash := {*keep} & {"n_bytes", "media", *T._parse_datatype_string(COLUMNS).fieldNames()}:
+        raise ValueError(f"columns named like results: {sorted(clash)}")
+    files = Written(write_media(docs, text, keep), "media")
+    if with_media:
+        return read_media(files.read(), keep=(*keep, "n_bytes", "media"))
+    out = Written(read_media(files.read(), keep=(*keep, "n_bytes")), "features")
+    files.drop()
+    return out.read()
 
 
 def _packets(batches: Iterator[pa.RecordBatch], media: str, kept: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from quillon.llm import langid, oracle, toxicity
 from quillon.llm.decontaminate import decontaminate
 from quillon.llm.matroska import store_media
 from quillon.llm.neardup import near_duplicates
-from quillon.llm.pack import pack
+from quillon.llm.pack import MAX_ATTENTION, MAX_DOCS, WEIGHTS, pack
 from quillon.llm.pagediff import extract
 from quillon.llm.secrets import find_secrets
 from quillon.llm.substring import remove_repeats
@@ -76,7 +76,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096, max_docs=MAX_DOCS, max_attention=MAX_ATTENTION, rule="norm", weights=WEIGHTS)
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
