@@ -13,7 +13,9 @@ many, so no task sorts a whole hot host; each range's first and last page are pa
 same at every size.
 
 Defined results: null or empty html has the empty text; a page alone on its host loses only what markup marks; repeated rows are one page for
-the pairing and keep a result each; pages without a parseable URL share one host named by the empty string; null ids are allowed.
+the pairing and keep a result each; pages without a parseable URL share one host named by the empty string; null ids are allowed; a page of any
+length is read whole, its alignment with n lines against m taking n * m bits; an empty table gives an empty result; a ``keep`` column named like
+a result raises ValueError, other columns are not read.
 """
 
 from __future__ import annotations
@@ -205,13 +207,15 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[
         raise ValueError("a column has the name of a result")
     address = F.coalesce(F.col(url).cast("string"), F.lit(""))
     taken = pages.select(*dict.fromkeys(keep), F.col(html).cast("string").alias("html"), F.xxhash64(F.col(url).cast("string"), F.col(html).cast("string")).alias("key"))
-    light = Written(pages.select(F.xxhash64(F.col(url).cast("string"), F.col(html).cast("string")).alias("key"), F.lower(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"), F.regexp_extract(address, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path")).distinct(), "places").read()
+    light = Written(pages.select(F.xxhash64(F.col(url).cast("string"), F.col(html).cast("string")).alias("key"), F.lower(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"), F.regexp_extract(address, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path")).distinct(), "places")
+    tables, light = [light], light.read()
     hot = light.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     n = hot.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     hot = F.broadcast(hot.select("host"))  # at most one host for BLOCK pages
     dealt = light.join(hot, "host", "left_anti").withColumn("range", F.lit(-1))
     if n:
-        cut = Written(light.join(hot, "host", "left_semi").repartitionByRange(-(-n // BLOCK), "host", "path", "key").withColumn("range", F.spark_partition_id()), "ranges").read()
+        cut = Written(light.join(hot, "host", "left_semi").repartitionByRange(-(-n // BLOCK), "host", "path", "key").withColumn("range", F.spark_partition_id()), "ranges")
+        tables, cut = [*tables, cut], cut.read()
         dealt = dealt.unionByName(cut)
     order = Window.partitionBy("host", "range").orderBy("path", "key")
     near = dealt.select("host", "range", "key", "path", F.lag("key").over(order).alias("k1"), F.lag("path").over(order).alias("p1"), F.lead("key").over(order).alias("k2"), F.lead("path").over(order).alias("p2"))
@@ -224,10 +228,13 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[
         near = near.join(F.broadcast(ends), ["host", "range"], "left").select("key", "path", or_end("k1", "before.key"), or_end("p1", "before.path"), or_end("k2", "after.key"), or_end("p2", "after.path"))
     size = lambda a, b: F.length(F.regexp_extract(F.concat_ws("\n", a, b), r"^(.*).*\n\1", 1))
     pairs = near.select("key", F.when(F.col("k1").isNull() | (F.col("k2").isNotNull() & (size("path", "p2") > size("path", "p1"))), F.col("k2")).otherwise(F.col("k1")).alias("neighbour")).where("neighbour is not null")
-    hashes = Written(taken.select("key", "html").mapInArrow(partial(_line_hashes, markup=markup), "key bigint, hashes array<bigint>, open boolean").dropDuplicates(["key"]), "lines").read()
+    hashes = Written(taken.select("key", "html").mapInArrow(partial(_line_hashes, markup=markup), "key bigint, hashes array<bigint>, open boolean").dropDuplicates(["key"]), "lines")
+    tables, hashes = [*tables, hashes], hashes.read()
     both = hashes.join(pairs, "key").join(hashes.select(F.col("key").alias("neighbour"), F.col("hashes").alias("other")), "neighbour")
     # rows only where the alignment has something to decide
     shared = Written(both.where("open").select("key", "hashes", "other").mapInArrow(_shared, "key bigint, shared array<int>").where(F.size("shared") > 0), "shared").read()
+    for x in tables:
+        x.drop()
     small = shared.agg(F.coalesce(F.sum(F.size("shared") + 2), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_LINES
     joined = taken.join(F.broadcast(shared) if small else shared, "key", "left")
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in taken.schema if f.name in keep), T.StructField("main_text", T.StringType())])

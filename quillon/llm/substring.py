@@ -135,25 +135,34 @@ def repeated(docs: DataFrame, span: int = SPAN, k: int = K, hot: int = HOT, bloc
     """Intervals of repeated words (did, rk, spans) of the documents that have any. docs: did, rk, text."""
     light = docs.where(F.length("text") >= 2 * span - 1)
     shared = light.select("did", "text").mapInArrow(partial(_anchors, span=span, k=k, full=False), "anchor bigint, did bigint").groupBy("anchor").agg(F.min("did").alias("x"), F.max("did").alias("y")).where("x < y").select("anchor")
-    found = Written(light.mapInArrow(partial(_anchors, span=span, k=k, full=True), "anchor bigint, same bigint, did bigint, rk bigint, first int, windows int").join(shared, "anchor", "left_semi"), "anchors").read()
-    owners = Written(found.groupBy("anchor", "same").agg(F.min(F.struct("did", "rk", "first", "windows")).alias("o")).select("anchor", "same", "o.*"), "owners").read()
+    tables = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        tables.append(Written(df, name))
+        return tables[-1].read()
+
+    found = kept(light.mapInArrow(partial(_anchors, span=span, k=k, full=True), "anchor bigint, same bigint, did bigint, rk bigint, first int, windows int").join(shared, "anchor", "left_semi"), "anchors")
+    owners = kept(found.groupBy("anchor", "same").agg(F.min(F.struct("did", "rk", "first", "windows")).alias("o")).select("anchor", "same", "o.*"), "owners")
     # all but the owners' first ones; the anchor only where the owner's intervals are asked for
     own = owners.select("anchor", "same", F.col("did").alias("owner"), F.col("rk").alias("owner_rk"), F.col("first").alias("owner_first"))
     again = F.col("did") == F.col("owner")
-    others = Written(found.join(own, ["anchor", "same"]).where((F.col("did") > F.col("owner")) | (F.col("rk") != F.col("owner_rk")) | (F.col("first") != F.col("owner_first"))).select(F.when(again, F.col("anchor")).alias("anchor"), F.when(again, F.col("same")).alias("same"), "did", "rk", "first", "windows"), "others").read()
+    others = kept(found.join(own, ["anchor", "same"]).where((F.col("did") > F.col("owner")) | (F.col("rk") != F.col("owner_rk")) | (F.col("first") != F.col("owner_first"))).select(F.when(again, F.col("anchor")).alias("anchor"), F.when(again, F.col("same")).alias("same"), "did", "rk", "first", "windows"), "others")
     whole = others.where("anchor is null").select("did", "rk", F.col("first").alias("a"), (F.col("first") + F.col("windows") + span - 1).alias("b"))
     several = owners.groupBy("anchor").agg(F.count("*").alias("g")).where("g > 1")
-    wanted = Written(owners.join(several, "anchor").groupBy("did", "rk").agg(F.collect_list(F.struct("anchor", "same", "first", "windows", "g")).alias("wanted")), "wanted").read()
+    wanted = kept(owners.join(several, "anchor").groupBy("did", "rk").agg(F.collect_list(F.struct("anchor", "same", "first", "windows", "g")).alias("wanted")), "wanted")
     rows = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0)).alias("n")).first()["n"]
-    cut = Written(light.join(_small(wanted, rows), ["did", "rk"]).dropDuplicates(["did", "rk"]).mapInArrow(partial(_cut, span=span, hot=hot), "anchor bigint, same bigint, did bigint, rk bigint, first int, hot boolean, values array<bigint>"), "segments").read()
+    cut = kept(light.join(_small(wanted, rows), ["did", "rk"]).dropDuplicates(["did", "rk"]).mapInArrow(partial(_cut, span=span, hot=hot), "anchor bigint, same bigint, did bigint, rk bigint, first int, hot boolean, values array<bigint>"), "segments")
     searched = cut.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "did", "first").mapInArrow(partial(_search, span=span, block_words=block_words), INTERVALS)
     windows = cut.where("hot").select("anchor", "same", "did", "rk", "first", F.posexplode("values").alias("i", "window"))
     least = windows.groupBy("anchor", "window").agg(F.min("did").alias("least"), F.max("did").alias("most")).where("least < most")
     settled = windows.join(least.select("anchor", "window", "least"), ["anchor", "window"]).where("did > least").select("anchor", "same", "did", "rk", "first", F.col("i").alias("a"), (F.col("i") + span).alias("b"))
-    firsts = Written(searched.unionByName(settled), "firsts").read()
+    firsts = kept(searched.unionByName(settled), "firsts")
     further = others.where("anchor is not null").select("anchor", "same", "did", "rk", "first").join(firsts.select("anchor", "same", "a", "b"), ["anchor", "same"])
     spans = whole.unionByName(firsts.unionByName(further).select("did", "rk", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b")))
-    return Written(spans.groupBy("did", "rk").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeats")
+    out = Written(spans.groupBy("did", "rk").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeats")
+    for x in tables:
+        x.drop()
+    return out
 
 
 def _merge(spans: list[dict]) -> list[tuple[int, int]]:
