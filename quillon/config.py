@@ -32,7 +32,7 @@ class Scoring:
 
 @dataclass(frozen=True)
 class Ivf:
-    """nprobe and k beyond 32 count as 32."""
+    """nprobe and k beyond 32 count as 32. Fixed value: the seed."""
 
     centroids: int = 16
     nprobe: int = 3

@@ -31,7 +31,7 @@ def hour(ts: Column) -> Column:
 
 
 def weekday(ts: Column) -> Column:
-    """Monday is 0, Sunday is 1."""
+    """Monday is 0, Sunday is 1; days of the week in sixths."""
     return (F.weekday(F.substring(ts, 1, 10).cast("date")) / F.lit(6.0)).cast("float")
 
 
@@ -63,7 +63,9 @@ def flag(x: Column) -> Column:
 
 
 def unknown_merchant(known: Column, merchant: Column) -> Column:
-    return f32(1) - flag(F.coalesce(F.array_contains(known, merchant), F.lit(False)))
+    """A merchant without a name is known where a merchant without a name is."""
+    among = F.when(merchant.isNull(), F.exists(known, lambda x: x.isNull())).otherwise(F.array_contains(known, merchant))
+    return f32(1) - flag(F.coalesce(among, F.lit(False)))
 
 
 def feature_columns(limits: Limits = Limits()) -> dict[str, Column]:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from quillon.config import Ivf, U
 from quillon.operators.knn import neighbours, votes
+from quillon.operators.ranks import ranked
 
 MOST = 32
 
@@ -35,25 +36,25 @@ def picks(n: int, k: int, seed: int = Ivf.seed) -> list[int]:
 
 
 def numbered(vectors: DataFrame, order: str = "ref_id") -> DataFrame:
-    """vectors with row_idx, dense from 0 by the order column: counts by range bucket and a rank inside each, never one sort of all rows."""
-    low, high = vectors.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return vectors.withColumn("row_idx", F.lit(0).cast("bigint"))
-    width = max(1, (high - low + 1) // 512 + 1)
-    cut = vectors.withColumn("_b", F.floor((F.col(order) - low) / width))
-    counts = cut.groupBy("_b").agg(F.count("*").alias("_c"))
-    before = counts.select("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # 512 rows
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
-    return cut.join(F.broadcast(before), "_b").withColumn("row_idx", (F.col("_before") + rank).cast("bigint")).drop("_b", "_before")
+    """vectors with row_idx, dense from 0 by the order column."""
+    return ranked(vectors, [], [order])
+
+
+def _points(centroids: list[list[float]]) -> np.ndarray:
+    """Truncated to whole numbers of 8 bits."""
+    return np.clip(np.trunc(np.array(centroids, np.float32)), 0, 255).astype(np.float64)
+
+
+def _closest(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The nearest point of each row, the lowest of equals; a row's own square is the same for all points."""
+    return ((points * points).sum(axis=1)[None, :] - 2.0 * (x @ points.T)).argmin(axis=1)
 
 
 def _assign(batches: Iterator[pa.RecordBatch], shipped, columns: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    ids, points = shipped.value
-    norm = (points * points).sum(axis=1)
+    points = shipped.value
     for batch in batches:
         x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in columns], axis=1)
-        d = norm[None, :] - 2.0 * (x @ points.T)  # the vector's own square is the same for all centroids
-        best = ids[d.argmin(axis=1)].astype(np.int32)
+        best = _closest(x, points).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(best) if f.name == "centroid_id" else batch.column(f.name) for f in schema], schema=schema)
 
 
@@ -61,8 +62,7 @@ def assign(vectors: DataFrame, centroids: list[list[float]], columns: list[str]
     """vectors with centroid_id, the nearest truncated centroid, the lowest of equals."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    points = np.clip(np.trunc(np.array(centroids, np.float32)), 0, 255).astype(np.float64)
-    shipped = vectors.sparkSession.sparkContext.broadcast((np.arange(len(points)), points))
+    shipped = vectors.sparkSession.sparkContext.broadcast(_points(centroids))
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in vectors.schema if f.name != "centroid_id"), T.StructField("centroid_id", T.IntegerType())])
     return vectors.select(*(c for c in vectors.columns if c != "centroid_id")).mapInArrow(partial(_assign, shipped=shipped, columns=columns, schema=to_arrow_schema(schema)), schema)
 
@@ -72,31 +72,44 @@ def means(assigned: DataFrame, columns: list[str] = U) -> DataFrame:
     return assigned.groupBy("centroid_id").agg(F.count("*").alias("n"), *((F.sum(c).cast("float") / F.count("*").cast("float")).cast("float").alias(f"m_{c}") for c in columns))
 
 
+def _round(batches: Iterator[pa.RecordBatch], shipped, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """One row for each centroid and task: its vectors, those that were elsewhere before, and their sums."""
+    now, before = shipped.value
+    total = np.zeros((len(now), 2 + len(columns)), np.int64)
+    for batch in batches:
+        x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], axis=1)
+        best, old = _closest(x, now), _closest(x, before) if before is not None else 0
+        np.add.at(total, best, np.concatenate([np.ones((len(x), 1), np.int64), (best != old)[:, None], x], axis=1))
+    some = np.flatnonzero(total[:, 0])
+    if len(some):
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(x) for x in total[some].T)], names=["centroid_id", "n", "changed", *columns])
+
+
 def kmeans(vectors: DataFrame, params: Ivf = Ivf(), columns: list[str] = U) -> tuple[list[list[float]], DataFrame, list[dict]]:
     """Centroids after the last update, the vectors with the last assignment, and a log row for each round.
 
-    A round is one pass over the vectors: assignment and sums in the same job. The last assignment may lag the centroids by an update.
+    A round is one pass over the vectors, in one job: each task assigns its vectors to the centroids of this round and of the one before, and gives
+    counts, changes and sums by centroid. The last assignment may lag the centroids by an update.
     """
-    rows = numbered(vectors)
+    rows = numbered(vectors.select("ref_id"))
     n = vectors.count()
     drawn = picks(n, params.centroids, params.seed)
-    chosen = {r["row_idx"]: [float(r[c]) for c in columns] for r in rows.where(F.col("row_idx").isin(drawn)).select("row_idx", *columns).collect()}
-    now = [chosen[i] for i in drawn]
+    names = {r["row_idx"]: r["ref_id"] for r in rows.where(F.col("row_idx").isin(drawn)).collect()}  # at most one row for each centroid
+    chosen = {r["ref_id"]: [float(r[c]) for c in columns] for r in vectors.where(F.col("ref_id").isin([*names.values()])).select("ref_id", *columns).collect()}
+    now = [chosen[names[i]] for i in drawn]
+    spark, plain = vectors.sparkSession, vectors.select(*columns)
+    sums = "centroid_id int, n bigint, changed bigint, " + ", ".join(f"{c} bigint" for c in columns)
     log: list[dict] = []
-    before = None
+    used = before = None
     for step in range(1, params.iterations + 1):
-        used = now
-        assigned = assign(vectors, now, columns)
-        if before is None:
-            changed = assigned.where("centroid_id <> 0")
-        else:
-            changed = assign(assigned.withColumnRenamed("centroid_id", "_new"), before, columns).where("centroid_id <> _new")
-        n_changed = changed.count()
-        for r in means(assigned, columns).collect():  # one row for each centroid
-            now = [*now[: r["centroid_id"]], [float(r[f"m_{c}"]) for c in columns], *now[r["centroid_id"] + 1 :]]
-        log.append({"iteration": step, "changed": n_changed, "percent": 100.0 * n_changed / n})
-        before = used
-        if not n_changed:
+        used, shipped = now, spark.sparkContext.broadcast((_points(now), before))
+        found = plain.mapInArrow(partial(_round, shipped=shipped, columns=columns), sums).groupBy("centroid_id").agg(*(F.sum(c).alias(c) for c in ("n", "changed", *columns))).collect()
+        for r in found:  # one row for each centroid
+            now = [*now[: r["centroid_id"]], [float(np.float32(r[c]) / np.float32(r["n"])) for c in columns], *now[r["centroid_id"] + 1 :]]
+        changed = sum(r["changed"] for r in found)
+        log.append({"iteration": step, "changed": changed, "percent": 100.0 * changed / n})
+        before = _points(used)
+        if not changed:
             break
     return now, assign(vectors, used, columns), log
 

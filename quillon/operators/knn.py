@@ -1,8 +1,15 @@
 """Exact nearest neighbours within a partition key, and votes.
 
-Ties go to the smaller reference id. Fewer than k references leave the missing votes with the legitimate side: the divisor stays k.
-Three strategies give equal results: ``blocks`` scans the references where they lie with blocks of queries shipped to them and keeps k per query and
-task before any shuffle; ``join`` is plain DataFrame operations, for small sets; ``cells`` prunes with bounding boxes (kdcells.py).
+Ties go to the smaller reference id. Fewer than k references leave the missing votes with the legitimate side: the divisor stays k. Rows without a
+key have no neighbours. Four strategies give equal results:
+
+* ``blocks``, the default: up to ``block`` queries, by their count, are shipped to the references, which stay where they lie; more go as ``shuffle``.
+* ``shuffle``: the references of a key are dealt into blocks of about ``ref_block`` rows, so a hot key is many tasks; every query goes to each
+  block of its key and streams past it. A task holds one block of references and one batch of queries; nothing passes the driver.
+* ``cells``: as ``shuffle``, with whole median-split cells (kdcells.py) in a block: a query skips every cell whose box lies beyond its k-th distance.
+* ``join``: plain DataFrame operations, for small sets.
+
+All keep k rows for each query and task before the last shuffle.
 """
 
 from __future__ import annotations
@@ -18,52 +25,144 @@ from pyspark.sql import functions as F
 from quillon.config import Q
 from quillon.functions.quantize import squared_distance
 
-QUERY_BLOCK = 20_000
+QUERY_BLOCK, REF_BLOCK = 20_000, 200_000
+ROWS, COLS = 1024, 4096  # of a matrix of distances
 NEIGHBOUR = "query_id bigint, ref_id bigint, dist bigint, fraud int"
+NAMES = ["query_id", "ref_id", "dist", "fraud"]
 
 
 def _matrix(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     return np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in columns], axis=1)
 
 
+class References:
+    """A block of references: ids, labels, points and, if they have cells, the box of each run of rows of one cell."""
+
+    def __init__(self, ids: np.ndarray, fraud: np.ndarray, points: np.ndarray, cells: np.ndarray | None = None):
+        if cells is not None:
+            order = np.argsort(cells, kind="stable")
+            ids, fraud, points, cells = ids[order], fraud[order], points[order], cells[order]
+            self.start = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+            self.low, self.high = np.minimum.reduceat(points, self.start), np.maximum.reduceat(points, self.start)
+        self.ids, self.fraud, self.points, self.norm, self.celled = ids, fraud, points, (points * points).sum(axis=1), cells is not None
+
+    def distances(self, ids: np.ndarray, points: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Squared distances to the rows a:b; no row is its own neighbour. Sums below 2**53 are exact in doubles."""
+        d = (points * points).sum(axis=1)[:, None] + self.norm[a:b] - 2.0 * (points @ self.points[a:b].T)
+        d[ids[:, None] == self.ids[a:b]] = np.inf
+        return d
+
+    def found(self, rows: np.ndarray, d: np.ndarray, a: int, k: int, most: np.ndarray | None = None) -> tuple:
+        """(query, distance, reference, label) of the k nearest in each row of distances, all that tie at the k-th place, none beyond most."""
+        take = min(k, d.shape[1])
+        edge = np.partition(d, take - 1, axis=1)[:, take - 1]
+        x, y = np.nonzero((d <= (edge if most is None else np.minimum(edge, most))[:, None]) & np.isfinite(d))
+        return rows[x], d[x, y].astype(np.int64), self.ids[a + y], self.fraud[a + y]
+
+    def nearest(self, ids: np.ndarray, points: np.ndarray, k: int) -> tuple:
+        """The k nearest of every query, as (place of the query, distance, reference, label), sorted."""
+        best = _kept([], k)
+        for q in range(0, len(ids), ROWS):
+            rows = np.arange(q, min(q + ROWS, len(ids)))
+            best = tuple(np.concatenate(x) for x in zip(best, (self._pruned if self.celled else self._scanned)(rows, ids, points, k), strict=True))
+        return best
+
+    def _scanned(self, rows: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> tuple:
+        best = _kept([], k)
+        for a in range(0, len(self.ids), COLS):
+            b = min(a + COLS, len(self.ids))
+            best = _kept([best, self.found(rows, self.distances(ids[rows], points[rows], a, b), a, k)], k)
+        return best
+
+    def _pruned(self, rows: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> tuple:
+        bound = np.zeros((len(rows), len(self.start)))
+        for j in range(points.shape[1]):
+            x = points[rows, j][:, None]
+            bound += np.maximum(np.maximum(self.low[:, j] - x, x - self.high[:, j]), 0) ** 2
+        first = bound.argmin(axis=1)
+        end = np.append(self.start[1:], len(self.ids))
+        got = []
+        for c in np.unique(first).tolist():
+            mine = np.flatnonzero(first == c)
+            got.append(self.found(rows[mine], self.distances(ids[rows[mine]], points[rows[mine]], self.start[c], end[c]), self.start[c], k))
+        best = _kept(got, k)
+        at, last, n = np.unique(best[0][::-1], return_index=True, return_counts=True)
+        most = np.full(len(rows), np.inf)  # the k-th distance, where the first cell gives k
+        most[at[n == k] - rows[0]] = best[1][::-1][last[n == k]]
+        bound[np.arange(len(rows)), first] = np.inf
+        got = [best]
+        for c in np.flatnonzero((bound <= most[:, None]).any(axis=0)).tolist():  # a box as far as the k-th neighbour may hold a tie
+            mine = np.flatnonzero((bound[:, c] <= most) & np.isfinite(bound[:, c]))
+            if len(mine):
+                got.append(self.found(rows[mine], self.distances(ids[rows[mine]], points[rows[mine]], self.start[c], end[c]), self.start[c], k, most[mine]))
+        return _kept(got, k)
+
+
+def _kept(parts: list[tuple], k: int) -> tuple:
+    """The k first by distance, then reference, of every query."""
+    if not parts:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    new = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((new[2], new[1], new[0]))
+    new = tuple(x[order] for x in new)
+    start = np.flatnonzero(np.concatenate([[True], new[0][1:] != new[0][:-1]])) if len(new[0]) else np.zeros(0, int)
+    place = np.arange(len(new[0])) - np.repeat(start, np.diff([*start, len(new[0])]))
+    return tuple(x[place < k] for x in new)
+
+
+def _batch(ids: np.ndarray, best: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids[best[0]], pa.int64()), pa.array(best[2], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[3].astype(np.int32))], names=NAMES)
+
+
 def _nearest(batches: Iterator[pa.RecordBatch], shipped, columns: list[str], key: str, k: int) -> Iterator[pa.RecordBatch]:
-    """For each query the k nearest of this task's references that share its key. Sums below 2**53 are exact in doubles."""
+    """For each shipped query the k nearest of this task's references that share its key."""
     ids, keys, points = shipped.value
     where = {g: np.flatnonzero(keys == g) for g in np.unique(keys)}
-    norm = (points * points).sum(axis=1)
-    best: dict = {g: None for g in where}
+    best: dict = {}
     for batch in batches:
-        ref_key, ref_id = batch.column(key).to_numpy(), batch.column("ref_id").to_numpy()
-        fraud, refs = batch.column("fraud").to_numpy(), _matrix(batch, columns)
+        ref_key, refs = batch.column(key).to_numpy(zero_copy_only=False), _matrix(batch, columns)
+        ref_id, fraud = batch.column("ref_id").to_numpy(), batch.column("fraud").to_numpy(zero_copy_only=False)
         for g in np.unique(ref_key):
-            if g not in where:
-                continue
-            mine = np.flatnonzero(ref_key == g)
-            q = where[g]
-            for a in range(0, len(mine), 4096):
-                part = mine[a : a + 4096]
-                r = refs[part]
-                for b in range(0, len(q), 1024):
-                    rows = q[b : b + 1024]
-                    d = norm[rows][:, None] + (r * r).sum(axis=1)[None, :] - 2.0 * (points[rows] @ r.T)
-                    d[ids[rows][:, None] == ref_id[part][None, :]] = np.inf  # no row is its own neighbour
-                    take = min(k, d.shape[1])
-                    # ties at the k-th place must go by id: take all that tie
-                    edge = np.partition(d, take - 1, axis=1)[:, take - 1]
-                    x, y = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
-                    new = (rows[x], d[x, y].astype(np.int64), ref_id[part][y], fraud[part][y])
-                    slot = (g, b)
-                    old = best.get(slot)
-                    if old is not None:
-                        new = tuple(np.concatenate(z) for z in zip(old, new, strict=True))
-                    order = np.lexsort((new[2], new[1], new[0]))
-                    new = tuple(z[order] for z in new)
-                    start = np.flatnonzero(np.concatenate([[True], new[0][1:] != new[0][:-1]])) if len(new[0]) else np.zeros(0, int)
-                    place = np.arange(len(new[0])) - np.repeat(start, np.diff([*start, len(new[0])]))
-                    best[slot] = tuple(z[place < k] for z in new)
+            if g in where:
+                mine, q = ref_key == g, where[g]
+                place, *rest = References(ref_id[mine], fraud[mine], refs[mine]).nearest(ids[q], points[q], k)
+                best[g] = _kept([*([best[g]] if g in best else []), (q[place], *rest)], k)
     for found in best.values():
-        if found is not None and len(found[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[found[0]]), pa.array(found[2]), pa.array(found[1]), pa.array(found[3].astype(np.int32))], names=["query_id", "ref_id", "dist", "fraud"])
+        if len(found[0]):
+            yield _batch(ids, found)
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], columns: list[str], key: str, k: int, celled: bool) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key and block, the references of a block before its queries."""
+    now, held, refs = None, [], None
+    for batch in batches:
+        keys, block, side = (batch.column(n).to_numpy(zero_copy_only=False) for n in (key, "_block", "_side"))
+        cut = np.flatnonzero((keys[1:] != keys[:-1]) | (block[1:] != block[:-1]) | (side[1:] != side[:-1])) + 1
+        for a, b in zip([0, *cut], [*cut, len(keys)], strict=True):
+            if a == b:
+                continue
+            part = batch.slice(a, b - a)
+            if (keys[a], block[a]) != now:
+                now, held, refs = (keys[a], block[a]), [], None
+            ids, points = part.column("_id").to_numpy(), _matrix(part, columns)
+            if side[a] == 0:
+                held.append((ids, part.column("fraud").to_numpy(zero_copy_only=False), points, *([part.column("cell").to_numpy(zero_copy_only=False)] if celled else [])))
+                continue
+            if refs is None and held:
+                refs, held = References(*(np.concatenate(x) for x in zip(*held, strict=True))), []
+            if refs is not None:
+                found = refs.nearest(ids, points, k)
+                if len(found[0]):
+                    yield _batch(ids, found)
+
+
+def _shuffled(queries: DataFrame, refs: DataFrame, k: int, columns: list[str], key: str, ref_block: int, celled: bool) -> DataFrame:
+    blocks = refs.groupBy(key).agg(F.ceil(F.count("*") / ref_block).alias("_blocks"))
+    cell = ["cell"] if celled else []
+    r = refs.join(blocks, key).select(key, F.pmod(F.xxhash64(*(cell or ["ref_id"])), "_blocks").alias("_block"), F.lit(0).alias("_side"), F.col("ref_id").alias("_id"), "fraud", *cell, *columns)
+    q = queries.join(blocks, key).select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"), F.lit(1).alias("_side"), F.col("query_id").alias("_id"), F.lit(0).alias("fraud"), *(F.lit("").alias(c) for c in cell), *columns)
+    both = r.unionByName(q).repartition(key, "_block").sortWithinPartitions(key, "_block", "_side")
+    return both.mapInArrow(partial(_streamed, columns=columns, key=key, k=k, celled=celled), NEIGHBOUR)
 
 
 def _ranked(candidates: DataFrame, k: int) -> DataFrame:
@@ -71,24 +170,20 @@ def _ranked(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def neighbours(queries: DataFrame, refs: DataFrame, k: int = 5, columns: list[str] = Q, key: str = "part_key", strategy: str = "blocks", block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, ref_id, dist, fraud, rank. queries: query_id, key, columns; refs: ref_id, fraud, key, columns."""
+def neighbours(queries: DataFrame, refs: DataFrame, k: int = 5, columns: list[str] = Q, key: str = "part_key", strategy: str = "blocks", block: int = QUERY_BLOCK, ref_block: int = REF_BLOCK) -> DataFrame:
+    """query_id, ref_id, dist, fraud, rank. queries: query_id, key, columns; refs: ref_id, fraud, key, columns (and cell for ``cells``)."""
     if strategy == "join":
         a = queries.select("query_id", key, *(F.col(c).alias(f"_{c}") for c in columns))
         pairs = refs.join(a, key).where("ref_id <> query_id")
         found = pairs.select("query_id", "ref_id", squared_distance([F.col(c) for c in columns], [F.col(f"_{c}") for c in columns]).alias("dist"), "fraud")
         return _ranked(found, k)
-    taken = refs.select("ref_id", "fraud", key, *columns)
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    found = None
-    for b in range(blocks):  # each block of queries is of bounded size; the references are read once for each
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = part.select("query_id", key, *columns).toPandas()
-        shipped = refs.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(np.int64), rows[key].to_numpy(), rows[columns].to_numpy(np.float64)))
-        scanned = taken.mapInArrow(partial(_nearest, shipped=shipped, columns=columns, key=key, k=k), NEIGHBOUR)
-        found = scanned if found is None else found.unionByName(scanned)
-    return _ranked(found, k)
+    asked = queries.select("query_id", key, *columns).where(F.col(key).isNotNull())
+    taken = refs.select("ref_id", "fraud", key, *(["cell"] if strategy == "cells" else []), *columns).where(F.col(key).isNotNull())
+    if strategy != "blocks" or asked.count() > block:
+        return _ranked(_shuffled(asked, taken, k, columns, key, ref_block, strategy == "cells"), k)
+    rows = asked.toPandas()  # checked: one block at most
+    shipped = refs.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(np.int64), rows[key].to_numpy(), rows[columns].to_numpy(np.float64)))
+    return _ranked(taken.mapInArrow(partial(_nearest, shipped=shipped, columns=columns, key=key, k=k), NEIGHBOUR), k)
 
 
 def votes(queries: DataFrame, found: DataFrame) -> DataFrame:

@@ -64,6 +64,46 @@ p AS (SELECT r.ref_id AS query_id, CAST(c.centroid_id AS INTEGER) AS centroid_id
 IVF_NEAR = f"""{PROBES},
 n AS (SELECT p.query_id, b.ref_id, b.fraud, row_number() OVER (PARTITION BY p.query_id ORDER BY {_dist("q", "b", "u")}, b.ref_id) AS rank FROM p JOIN r q ON q.ref_id = p.query_id JOIN a b ON b.centroid_id = p.centroid_id AND b.ref_id <> p.query_id QUALIFY rank <= {Ivf.k})"""
 
+
+
+def _draws(k: int, x: int) -> str:
+    """Rows (number, draw) of the 64-bit xorshift by 13, 7 and 17."""
+    rows = []
+    for i in range(k):
+        x ^= x << 13 & (1 << 64) - 1
+        x ^= x >> 7
+        x ^= x << 17 & (1 << 64) - 1
+        rows.append(f"({i}, CAST('{x}' AS UBIGINT))")
+    return ", ".join(rows)
+
+
+def _u(f: str) -> str:
+    return ", ".join(f.format(i=i) for i in _N)
+
+
+def _trained(rounds: int) -> str:
+    """d: numbered vectors; c1.. and t1..: centroids before each round and truncated; a1..: assignments; g1..: how many changed."""
+    parts = [
+        f"{VECTORS}, d AS MATERIALIZED (SELECT ref_id, fraud, {_u('u{i}')}, row_number() OVER (ORDER BY ref_id) - 1 AS idx FROM r)",
+        f"c1 AS MATERIALIZED (SELECT p.centroid_id, {_u('CAST(u{i} AS FLOAT) AS u{i}')} FROM (VALUES {_draws(Ivf.centroids, Ivf.seed)}) p(centroid_id, x) JOIN d ON d.idx = CAST(p.x % (SELECT CAST(count(*) AS UBIGINT) FROM d) AS BIGINT))",
+    ]
+    mean = _u("CAST(CAST(CAST(sum(u{i}) AS FLOAT) AS DOUBLE) / CAST(CAST(count(*) AS FLOAT) AS DOUBLE) AS FLOAT) AS u{i}")
+    for j in range(1, rounds + 2):
+        parts.append(f"t{j} AS MATERIALIZED (SELECT centroid_id, {_u('CAST(trunc(u{i}) AS INTEGER) AS u{i}')} FROM c{j})")
+        if j > rounds:
+            break
+        parts.append(f"a{j} AS MATERIALIZED (SELECT d.ref_id, CAST(min({_dist('d', 't', 'u')} * {Ivf.centroids} + t.centroid_id) % {Ivf.centroids} AS INTEGER) AS centroid_id FROM d, t{j} t GROUP BY d.ref_id)")
+        parts.append(f"g{j} AS (SELECT {j} AS iteration, count(*) AS changed FROM a1 WHERE centroid_id <> 0)" if j == 1 else f"g{j} AS (SELECT {j} AS iteration, count(*) AS changed FROM a{j} x JOIN a{j - 1} y USING (ref_id) WHERE x.centroid_id <> y.centroid_id)")
+        parts.append(f"c{j + 1} AS MATERIALIZED (SELECT c.centroid_id, {_u('coalesce(m.u{i}, c.u{i}) AS u{i}')} FROM c{j} c LEFT JOIN (SELECT centroid_id, {mean} FROM a{j} JOIN d USING (ref_id) GROUP BY centroid_id) m USING (centroid_id))")
+    return ", ".join(parts)
+
+
+_R = Ivf.iterations
+TRAINED = _trained(_R)
+BUILT = f"""{TRAINED},
+p AS (SELECT d.ref_id AS query_id, c.centroid_id, row_number() OVER (PARTITION BY d.ref_id ORDER BY {_dist("d", "c", "u")}, c.centroid_id) AS probe FROM d, t{_R + 1} c WHERE d.ref_id % 20 = 0 QUALIFY probe <= {Ivf.nprobe}),
+n AS (SELECT p.query_id, b.ref_id, b.fraud, row_number() OVER (PARTITION BY p.query_id ORDER BY {_dist("q", "b", "u")}, b.ref_id) AS rank FROM p JOIN d q ON q.ref_id = p.query_id JOIN (SELECT d.*, a.centroid_id FROM d JOIN a{_R} a USING (ref_id)) b ON b.centroid_id = p.centroid_id AND b.ref_id <> p.query_id QUALIFY rank <= {Ivf.k})"""
+
 _PREVIOUS = "o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, ref_id) AS at FROM r)".replace("AS at", "AS place")
 
 SPREAD = f"""{VECTORS},
@@ -90,6 +130,14 @@ SQL: dict[str, str] = {
     "bbox_by_partition": f"WITH {VECTORS} SELECT part_key, {_BOXES} FROM r GROUP BY part_key",
     "max_variance_dim": f"WITH {SPREAD} SELECT part_key, CASE {' '.join(f'WHEN w{i} = most THEN {i}' for i in _N)} END AS dimension FROM m",
     "box_lower_bound": f"WITH {VECTORS}, b AS (SELECT part_key, {_BOXES} FROM r GROUP BY part_key) SELECT r.ref_id AS query_id, b.part_key, CAST({_OUTSIDE} AS BIGINT) AS bound FROM r, b WHERE r.ref_id % 20 = 0",
+    "box_lower_bound_all": f"WITH {VECTORS}, b AS (SELECT part_key, {_BOXES} FROM r GROUP BY part_key) SELECT r.ref_id, b.part_key, CAST({_OUTSIDE} AS BIGINT) AS bound FROM r, b",
+    "cell_counts": f"WITH RECURSIVE {VECTORS}, s AS (SELECT part_key, count(*) AS n FROM r GROUP BY part_key), t AS (SELECT part_key, n FROM s UNION ALL SELECT part_key, unnest([n // 2, n - n // 2]) FROM t WHERE n > 64) SELECT part_key, max(n) AS vectors, count(*) FILTER (WHERE n <= 64) AS leaves, count(*) AS nodes FROM t GROUP BY part_key",
+    "validate_malformed": f"WITH {TX}, s AS (SELECT *, event_id % 9 IN (0, 1, 4, 8) AS ok FROM tx) SELECT event_id, CASE WHEN ok THEN 200 ELSE 400 END AS status, CASE WHEN ok THEN merchant_id END AS merchant_id, CAST(CASE WHEN NOT ok THEN -1 WHEN event_id % 9 = 4 THEN 4294967295 ELSE installments END AS BIGINT) AS installments FROM s",
+    "labelled_source": f"WITH {FEATURES} SELECT fraud, {', '.join(f'CAST(v{i} AS DOUBLE) AS v{i}' if i < 10 else f'CASE WHEN event_id % 3 = 1 THEN CAST(0 AS DOUBLE) ELSE CAST(v{i} AS DOUBLE) END AS v{i}' for i in _N)} FROM f",
+    "dispatch_global": "WITH s AS (SELECT event_id, CAST((row_number() OVER (ORDER BY ts, event_id) - 1) % 2 AS INTEGER) AS slot, event_type <> 'error' AS up0, event_id % 7 <> 0 AS up1 FROM events) SELECT event_id, slot, CASE WHEN slot = 0 THEN CASE WHEN up0 THEN 0 WHEN up1 THEN 1 ELSE -1 END ELSE CASE WHEN up1 THEN 1 WHEN up0 THEN 0 ELSE -1 END END AS backend FROM s",
+    "kmeans_full": f"WITH {TRAINED}, l AS (SELECT t.centroid_id, count(a.ref_id) AS len FROM t{_R + 1} t LEFT JOIN a{_R} a USING (centroid_id) GROUP BY t.centroid_id) SELECT centroid_id, len, CAST(sum(len) OVER (ORDER BY centroid_id) - len AS BIGINT) AS start, {_u('u{i}')} FROM l JOIN t{_R + 1} USING (centroid_id)",
+    "kmeans_log": f"WITH {TRAINED}, g AS ({' UNION ALL '.join(f'SELECT * FROM g{j}' for j in range(1, _R + 1))}) SELECT iteration, changed, CAST(100 AS DOUBLE) * changed / (SELECT count(*) FROM d) AS percent FROM g WHERE iteration <= coalesce((SELECT min(iteration) FROM g WHERE changed = 0), {_R})",
+    "ivf_build_votes": f"WITH {BUILT} SELECT d.ref_id AS query_id, CAST(coalesce(sum(n.fraud), 0) AS BIGINT) AS fraud_votes FROM d LEFT JOIN n ON n.query_id = d.ref_id WHERE d.ref_id % 20 = 0 GROUP BY 1",
     "dist_i16": f"WITH {VECTORS}, {_PREVIOUS} SELECT a.ref_id AS event_id, {_dist('a', 'b', 'q')} AS dist FROM o a JOIN o b ON a.user_id = b.user_id AND a.place = b.place + 1",
     "dist_u8": f"WITH {VECTORS}, {_PREVIOUS} SELECT a.ref_id AS event_id, {_dist('a', 'b', 'u')} AS dist FROM o a JOIN o b ON a.user_id = b.user_id AND a.place = b.place + 1",
     "knn_exact_neighbors": f"WITH {NEAR} SELECT query_id, rank, ref_id, dist FROM n",

@@ -15,6 +15,7 @@ from quillon.functions import features as fx
 from quillon.functions import quantize as qz
 from quillon.functions import requests as rq
 from quillon.operators import ivf, kdcells, knn, stats
+from quillon.operators.dispatch import dispatch
 from quillon.plans import store
 from quillon.plans.shared import shared_path
 from quillon.sources import tables
@@ -103,6 +104,49 @@ def reject_oversize(spark, d):
     return asked.withColumn("head", head).select("event_id", rq.status(F.col("body"), F.col("head")).alias("status"))
 
 
+def _malformed(requests: DataFrame) -> DataFrame:
+    """Bodies changed by id mod 9: escapes, numbers of wrong types and at the bounds of 32 bits, white space; 0, 1, 4 and 8 are valid."""
+    kind, body = F.col("event_id") % 9, F.col("body")
+    number = lambda name, x: F.regexp_replace(body, rf'"{name}":[^,}}]*', f'"{name}":{x}')
+    changed = (
+        F.when(kind == 1, F.regexp_replace(body, r'"id":"MERC-', r'"id":"\\u004d\\u0045RC\\u002d'))
+        .when(kind == 2, number("amount", '"12.5"'))
+        .when(kind == 3, number("km_from_home", "true"))
+        .when(kind == 4, number("installments", "4294967295"))
+        .when(kind == 5, number("installments", "4294967296"))
+        .when(kind == 6, number("installments", "2.5"))
+        .when(kind == 7, number("tx_count_24h", "99999999999999999999"))
+        .when(kind == 8, F.regexp_replace(F.regexp_replace(body, ",", " ,\n\t"), '":', '" :\r\n  '))
+        .otherwise(body)
+    )
+    return requests.withColumn("body", changed)
+
+
+def validate_malformed(spark, d):
+    """Status of each, and of valid ones the merchant and the installments as read (else -1)."""
+    judged = rq.parsed(_malformed(tables.bodies(_tx(spark, d)))).withColumn("status", rq.status(F.col("body")))
+    ok = lambda path: F.when(F.col("status") == 200, F.col(f"payload.{path}"))
+    return judged.select("event_id", "status", ok("merchant.id").alias("merchant_id"), F.coalesce(ok("transaction.installments"), F.lit(-1)).cast("bigint").alias("installments"))
+
+
+def labelled_source(spark, d):
+    """Vectors of 14, 10 and 16 numbers as gzip JSON arrays, read back and brought to 14."""
+    path = shared_path(spark, "labelled")
+    whole = F.array(*(F.col(v) for v in V))
+    kind = F.col("event_id") % 3
+    vector = F.when(kind == 1, F.slice(whole, 1, 10)).when(kind == 2, F.concat(whole, F.array(F.lit(9.0).cast("float"), F.lit(9.0).cast("float")))).otherwise(whole)
+    tables.write_labelled(_features(spark, d).select(vector.alias("vector"), "label"), path)
+    read = qz.unpacked(tables.labelled_vectors(spark, path))
+    return read.select(tables.is_fraud(F.col("label")).alias("fraud"), *(F.col(v).cast("double").alias(v) for v in V))
+
+
+def dispatch_global(spark, d):
+    """All connections in the order of arrival, alternately to two backends; one refuses errors, the other every seventh id; -1 is neither."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts", "event_type")
+    found = dispatch(e, ["ts", "event_id"], (F.col("event_type") != "error", F.col("event_id") % 7 != 0))
+    return found.select("event_id", "slot", F.coalesce("backend", F.lit(-1)).alias("backend"))
+
+
 def http_content_length(spark, d):
     """Heads of a body of 100 bytes, in seven shapes."""
     asked = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.lit("x" * 100).alias("body"))
@@ -162,6 +206,14 @@ def box_lower_bound(spark, d):
     return keyed.select("query_id", "part_key", qz.box_distance([F.col(f"min_{c}") for c in Q], [F.col(f"max_{c}") for c in Q], [F.col(c) for c in Q]).alias("bound"))
 
 
+def box_lower_bound_all(spark, d):
+    """Every event against the box of every partition."""
+    refs = _index(spark, d)
+    # at most eight keys, by the definition of the key
+    keyed = refs.select("ref_id", *Q).withColumn("part_key", F.explode(F.sequence(F.lit(0), F.lit(7)))).join(F.broadcast(stats.bounding_boxes(refs)), "part_key")
+    return keyed.select("ref_id", "part_key", qz.box_distance([F.col(f"min_{c}") for c in Q], [F.col(f"max_{c}") for c in Q], [F.col(c) for c in Q]).alias("bound"))
+
+
 def _to_previous(spark, d, columns):
     """Each event's distance to the event before it in its user's order."""
     refs = _refs(spark, d).select(F.col("ref_id").alias("event_id"), *columns).join(spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "ts"), "event_id")
@@ -197,16 +249,26 @@ def fraud_decision(spark, d):
     return knn.decisions(_exact_votes(spark, d))
 
 
-def knn_cells(spark, d):
-    """The same neighbours through median-split cells and their boxes, the index written once."""
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """The references with their median-split cells, written once."""
     path = shared_path(spark, "cells")
     _refs(spark, d).select("ref_id", "fraud", "part_key", *Q).write.parquet(f"{path}/refs")
-    kdcells.with_cells(spark.read.parquet(f"{path}/refs"), leaf=512, levels=4).write.parquet(f"{path}/cells")
-    refs = spark.read.parquet(f"{path}/cells")
-    found = kdcells.neighbours_by_cells(_asked(refs), refs, kdcells.cells(refs))
+    kdcells.with_cells(spark.read.parquet(f"{path}/refs")).write.parquet(f"{path}/cells")
+    return spark.read.parquet(f"{path}/cells")
+
+
+def knn_cells(spark, d):
+    """The same neighbours through median-split cells of 64 rows at most and their boxes."""
+    refs = _cells(spark, d)
+    found = kdcells.neighbours_by_cells(_asked(refs), refs)
     return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "ref_id", "dist")
 
 
+def cell_counts(spark, d):
+    """Vectors, leaves and nodes of each key's tree."""
+    return kdcells.build_counts(_cells(spark, d))
+
+
 def kmeans_assign(spark, d):
     refs = _index(spark, d)
     return ivf.assign(refs, _seeds(refs)).select("ref_id", "centroid_id")
@@ -273,6 +335,15 @@ def ivf_roundtrip(spark, d):
     return ivf.ivf_votes(_asked(refs), lists, points, params["nprobe"], params["k"])
 
 
+def ivf_build_votes(spark, d):
+    """From vectors to trained centroids, lists and a saved index; votes from the index read back."""
+    path = shared_path(spark, "index")
+    store.build_ivf(_index(spark, d), path, IVF)
+    lists, centroids, params = store.load_ivf(spark, path)
+    points = [[float(r[u]) for u in U] for r in centroids.orderBy("centroid_id").collect()]  # a row for each centroid
+    return ivf.ivf_votes(_asked(lists), lists, points, params["nprobe"], params["k"])
+
+
 def stream_score(spark, d):
     """Asked events as request bodies through the stream: the answers equal those of the batch."""
     root = shared_path(spark, "stream")
@@ -293,7 +364,7 @@ def embedding_knn(spark, d):
 
 SINGLE = {"feat_amount": _single("v0"), "feat_installments": _single("v1"), "feat_amount_ratio": _single("v2"), "feat_hour": _single("v3"), "feat_weekday": _single("v4"), "feat_minutes_since_last": _single("v5"), "feat_km_last": _single("v6"), "feat_km_home": _single("v7"), "feat_tx_count_24h": _single("v8"), "feat_flags": _single("v9", "v10"), "feat_unknown_merchant": _single("v11"), "feat_mcc_risk": _single("v12"), "feat_merchant_avg": _single("v13")}
 
-WHOLE = [src_transactions, parse_payload, validate_status, reject_oversize, http_content_length, http_route, dispatch_round_robin, feature_vector, quantize_i16, quantize_u8, partition_key, partition_counts, label_counts, bbox_by_partition, max_variance_dim, box_lower_bound, dist_i16, dist_u8, knn_exact_neighbors, knn_exact_votes, fraud_decision, knn_cells, kmeans_assign, kmeans_update, kmeans_full, kmeans_log, ivf_buckets, ivf_probe, ivf_votes, index_size, store_roundtrip, ivf_roundtrip, stream_score, embedding_knn]
+WHOLE = [src_transactions, parse_payload, validate_status, validate_malformed, reject_oversize, labelled_source, http_content_length, http_route, dispatch_round_robin, dispatch_global, feature_vector, quantize_i16, quantize_u8, partition_key, partition_counts, label_counts, bbox_by_partition, max_variance_dim, box_lower_bound, box_lower_bound_all, dist_i16, dist_u8, knn_exact_neighbors, knn_exact_votes, fraud_decision, knn_cells, cell_counts, kmeans_assign, kmeans_update, kmeans_full, kmeans_log, ivf_buckets, ivf_probe, ivf_votes, index_size, store_roundtrip, ivf_roundtrip, ivf_build_votes, stream_score, embedding_knn]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

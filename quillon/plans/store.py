@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.config import Ivf
+from quillon.operators import ivf
+
 EXACT, IVF = "quillon-exact-1", "quillon-ivf-1"
 
 
@@ -37,3 +40,9 @@ def save_ivf(assigned: DataFrame, centroids: DataFrame, path: str, nprobe: int,
 def load_ivf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
     params = _check(spark, path, IVF)
     return spark.read.parquet(f"{path}/lists"), spark.read.parquet(f"{path}/centroids"), params
+
+
+def build_ivf(refs: DataFrame, path: str, params: Ivf = Ivf()) -> None:
+    """From references (ref_id, fraud, vectors) to a saved index: k-means, the lists of its last assignment, and the centroids."""
+    centroids, assigned, _ = ivf.kmeans(refs, params)
+    save_ivf(assigned, ivf.centroid_table(refs.sparkSession, centroids), path, params.nprobe, params.k)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,42 +28,70 @@ def is_fraud(label: Column) -> Column:
     return F.coalesce((label == "fraud").cast("int"), F.lit(0))
 
 
+def _by_day(e: DataFrame) -> DataFrame:
+    """e with tx_count_24h, last_ts and last_id: a user's events are taken a day at a time, so a busy user is many groups.
+
+    Each event also stands in the next day's group, which holds all that the 24 hours before its events do; a day's first event
+    has the last of the user's latest day before, one row for each user and day.
+    """
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    both = e.withColumn("_later", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_day", day + F.make_dt_interval(F.col("_later")))
+    in_day = Window.partitionBy("user_id", "_day").orderBy("ts", "event_id")
+    recent = F.expr("count(*) over (partition by user_id, _day order by ts range between interval '24' hour preceding and current row)")
+    counted = both.withColumns({"tx_count_24h": recent, "_ts": F.lag("ts").over(in_day), "_id": F.lag("event_id").over(in_day)}).where("_later = 0")
+    days = e.groupBy("user_id", day.alias("_day")).agg(F.max(F.struct("ts", "event_id")).alias("_last"))
+    before = days.select(F.col("user_id").alias("_user"), F.col("_day").alias("_of"), F.lag("_last").over(Window.partitionBy("user_id").orderBy("_day")).alias("_before")).where("_before is not null")
+    joined = counted.join(before, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("_day") == F.col("_of")), "left")
+    return joined.select(*e.columns, "tx_count_24h", F.coalesce("_ts", "_before.ts").alias("last_ts"), F.coalesce("_id", "_before.event_id").alias("last_id"))
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A transaction for each event, with the columns the features read and a label.
 
-    Averages are aggregates joined back, so a busy user or merchant is combined before any shuffle; only what needs the order of a
-    user's events goes through a window.
+    Averages and first visits are aggregates joined back, so a busy user or merchant is combined before any shuffle; what needs the order of a
+    user's events goes by days. Events without a user are one user's, events without a merchant one merchant's, and keep their rows.
     """
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", F.round(F.col("value") * 100).cast("bigint").alias("cents"), F.get_json_object("props", "$.k").alias("k"))
     mean = (F.sum("cents").cast("double") / F.count("*") / 100).cast("float")
-    users = e.groupBy("user_id").agg(mean.alias("customer_avg"))
-    merchants = e.groupBy("k").agg(mean.alias("merchant_avg"))
-    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    recent = F.expr("count(*) over (partition by user_id order by ts range between interval '24' hour preceding and current row)")
-    first = F.row_number().over(Window.partitionBy("user_id", "k").orderBy("ts", "event_id")) == 1
+    users = e.groupBy(F.col("user_id").alias("_u")).agg(mean.alias("customer_avg"))
+    merchants = e.groupBy(F.col("k").alias("_k")).agg(mean.alias("merchant_avg"))
+    visits = e.groupBy(F.col("user_id").alias("_vu"), F.col("k").alias("_vk")).agg(F.min(F.struct("ts", "event_id")).alias("_first"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    last_id = F.lag("event_id").over(by_user)
-    rows = e.withColumns({"tx_count_24h": recent, "unknown": first, "last_timestamp": text(F.lag("ts").over(by_user)), "last_km": (F.abs(F.col("event_id") - last_id) % 1500).cast("float")})
+    rows = _by_day(e).join(users, same("user_id", "_u"), "left").join(merchants, same("k", "_k"), "left").join(visits, same("user_id", "_vu") & same("k", "_vk"), "left")
+    rows = rows.withColumns({"unknown": F.struct("ts", "event_id") == F.col("_first"), "last_timestamp": text("last_ts"), "last_km": (F.abs(F.col("event_id") - F.col("last_id")) % 1500).cast("float")})
     codes = F.array(*(F.lit(c) for c in MCC_RISK))
     merchant = F.concat(F.lit("MERC-"), F.col("k"))
-    return (
-        rows.join(users, "user_id")
-        .join(merchants, "k")
-        .select(
-            "event_id", "user_id", "cents",
-            (F.col("cents").cast("float") / F.lit(100.0)).cast("float").alias("amount"),
-            (1 + F.col("event_id") % 12).alias("installments"),
-            text("ts").alias("requested_at"), "customer_avg", "tx_count_24h",
-            F.when(F.col("unknown"), F.array(F.lit("MERC-none"))).otherwise(F.array(F.lit("MERC-none"), merchant)).alias("known_merchants"),
-            merchant.alias("merchant_id"),
-            F.element_at(codes, (F.col("k").cast("int") % 10 + 1)).alias("mcc"), "merchant_avg",
-            F.col("event_type").isin("click", "view").alias("is_online"), (F.col("event_type") == "purchase").alias("card_present"),
-            (F.col("event_id") * 37 % 1500).cast("float").alias("km_from_home"), "last_timestamp", "last_km",
-            F.when(F.col("event_type") == "error", "fraud").otherwise("legit").alias("label"),
-        )
+    return rows.select(
+        "event_id", "user_id", "cents",
+        (F.col("cents").cast("float") / F.lit(100.0)).cast("float").alias("amount"),
+        (1 + F.col("event_id") % 12).alias("installments"),
+        text("ts").alias("requested_at"), "customer_avg", "tx_count_24h",
+        F.when(F.col("unknown"), F.array(F.lit("MERC-none"))).otherwise(F.array(F.lit("MERC-none"), merchant)).alias("known_merchants"),
+        merchant.alias("merchant_id"),
+        F.element_at(codes, (F.col("k").cast("int") % 10 + 1)).alias("mcc"), "merchant_avg",
+        F.col("event_type").isin("click", "view").alias("is_online"), (F.col("event_type") == "purchase").alias("card_present"),
+        (F.col("event_id") * 37 % 1500).cast("float").alias("km_from_home"), "last_timestamp", "last_km",
+        F.when(F.col("event_type") == "error", "fraud").otherwise("legit").alias("label"),
     )
 
 
+def write_labelled(rows: DataFrame, path: str) -> None:
+    """rows (vector, label) as gzip JSON arrays, one for each partition, streamed; ``labelled_vectors`` reads them back."""
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = False
+        for batch in batches:
+            if len(batch):
+                lines = batch.column("value").to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([("," if some or i else "[") + x for i, x in enumerate(lines)])], names=["value"])
+                some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
+
+    rows.select(F.to_json(F.struct("vector", "label")).alias("value")).mapInArrow(arrays, "value string").write.option("compression", "gzip").text(path)
+
+
 def bodies(tx: DataFrame) -> DataFrame:
     """event_id and the JSON payload of each transaction."""
     last = F.when(F.col("last_timestamp").isNotNull(), F.struct(F.col("last_timestamp").alias("timestamp"), F.col("last_km").alias("km_from_current")))
