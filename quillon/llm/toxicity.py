@@ -2,16 +2,20 @@
 
 A window is a word with its marks, ``<word>``; its vector is the mean of the embeddings of its byte n-grams (3 to 6) and of the
 word itself, hashed into a fixed number of rows, so misspellings and unseen endings share the vectors of their n-grams. A softmax over
-that mean tells toxic windows from others. A text is toxic if any of its windows is, so the labels of texts train the model through a
-noisy-or over the text's windows, and a text's score is the softmax of its most toxic window: long texts gain nothing by
-their length.
+that mean tells toxic windows from others. ``pool`` says what a text is:
 
-Learning takes at most ``sample`` labelled rows of each class (the first by a hash of the id) and the distinct words of their whole
-texts; scoring reads every word of every text. At inference the linear layer folds into one number per n-gram row.
+* ``word``, the default: a text is toxic if any of its windows is, so the labels of texts train the model through a noisy-or over the text's
+  windows, and a text's score is the softmax of its most toxic window: long texts gain nothing by their length, and one toxic word in a long
+  text is not averaged away.
+* ``text``: a text is one window, the mean over the n-grams of all its words.
 
-Defined results: a null or empty text scores as a text without windows (the bias alone, well below one half); rows with a null id
-are never learned from; without both classes among the labels every score is 0; repeated rows score alike; labels whose id repeats
-count each.
+Learning takes at most ``sample`` labelled rows of each class (the first by a hash of the id; rows of one id count as one) and the words of their
+whole texts; scoring reads every word of every text. At inference the linear layer folds into one number per n-gram row.
+
+Defined results: a null or empty text, or one without a word, has no window and scores as near to 0 as can be (the logit -30); rows with a null id
+are never learned from; without both classes among the labels every score is 0; repeated rows score alike; an id with several labels or texts is
+learned with the greatest label and the first text in their order; a text of any length is scored whole; an empty table gives an empty result; a
+``keep`` column named toxicity raises ValueError, other columns are not read.
 """
 
 from __future__ import annotations
@@ -68,7 +72,7 @@ class Model:
 
     def __init__(self, bits: int = BITS, dim: int = DIM, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.bits = bits
+        self.bits, self.pool = bits, "word"
         self.vectors = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
         self.linear = rng.normal(0, 1.0, (dim, 2)).astype(np.float32)
         self.bias = np.array([3.0, -3.0], np.float32)
@@ -77,8 +81,9 @@ class Model:
         """One number per row, and the bias."""
         return (self.vectors @ (self.linear[:, 1] - self.linear[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0])
 
-    def fit(self, docs: list[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY) -> Model:
-        """Joint full-batch training by Adam of vectors, linear layer and bias, through the noisy-or."""
+    def fit(self, docs: list[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY, pool: str = "word") -> Model:
+        """Joint full-batch training by Adam of vectors, linear layer and bias: through the noisy-or, or on whole texts."""
+        self.pool = pool
         types: dict[bytes, int] = {}
         pair_word = np.array([types.setdefault(w, len(types)) for d in docs for w in d], np.int64)
         pair_doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
@@ -96,6 +101,7 @@ class Model:
             counts[a:b] = np.bincount(owner, minlength=b - a)
             blocks.append((a, b, rows[np.argsort(owner, kind="stable")]))
         parts = counts + PRIOR
+        whole = np.bincount(pair_doc, counts[pair_word], len(docs)) + PRIOR
         seen = np.zeros(1 << self.bits, bool)
         for _, _, rows in blocks:
             seen[rows] = True
@@ -107,17 +113,25 @@ class Model:
         weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())) * len(docs)
         state = [[np.zeros_like(x), np.zeros_like(x)] for x in (vectors, linear, bias)]
         for step in range(1, epochs + 1):
-            mean = np.concatenate([np.add.reduceat(vectors[rows], np.cumsum(counts[a:b]) - counts[a:b], axis=0) for a, b, rows in blocks]) / parts[:, None]
+            mean = np.concatenate([np.add.reduceat(vectors[rows], np.cumsum(counts[a:b]) - counts[a:b], axis=0) for a, b, rows in blocks])
+            if pool == "text":
+                mean = np.stack([np.bincount(pair_doc, x[pair_word], len(docs)) for x in mean.T], axis=1) / whole[:, None]
+            else:
+                mean /= parts[:, None]
             z = mean @ (linear[:, 1] - linear[:, 0]) + bias[1] - bias[0]
             p = np.clip(1 / (1 + np.exp(-z)), 1e-9, 1 - 1e-9)
-            none = np.bincount(pair_doc, np.log1p(-p)[pair_word], len(docs))  # log of the chance of no toxic window
-            chance = np.clip(-np.expm1(none), 1e-9, 1)
-            # d loss / d z of a window: p for a clean text, -p (1 - P) / P for a toxic one
-            of_doc = np.where(positive, -(1 - chance) / chance, 1.0) * weight
-            dz = np.bincount(pair_word, of_doc[pair_doc], len(names)) * p / len(docs)
+            if pool == "text":
+                dz = (p - positive) * weight / len(docs)
+                pull = np.bincount(pair_word, (dz / whole)[pair_doc], len(names))
+            else:
+                none = np.bincount(pair_doc, np.log1p(-p)[pair_word], len(docs))  # log of the chance of no toxic window
+                chance = np.clip(-np.expm1(none), 1e-9, 1)
+                # d loss / d z of a window: p for a clean text, -p (1 - P) / P for a toxic one
+                of_doc = np.where(positive, -(1 - chance) / chance, 1.0) * weight
+                dz = np.bincount(pair_word, of_doc[pair_doc], len(names)) * p / len(docs)
+                pull = dz / parts
             w = linear[:, 1] - linear[:, 0]
             d_w = mean.T @ dz
-            pull = dz / parts
             d_vectors = sum(np.bincount(rows, np.repeat(pull[a:b], counts[a:b]), len(used)) for a, b, rows in blocks)[:, None] * w[None, :]
             grads = (d_vectors, np.stack([-d_w, d_w], axis=1), np.array([-dz.sum(), dz.sum()]))
             vectors *= 1 - rate * decay  # what no text still calls for fades
@@ -133,15 +147,19 @@ class Model:
         return self
 
 
-def text_scores(w: W.Words, folded: np.ndarray, bias: float, bits: int) -> np.ndarray:
-    """For each text the score of its most toxic window."""
+def text_scores(w: W.Words, folded: np.ndarray, bias: float, bits: int, pool: str = "word") -> np.ndarray:
+    """For each text the score of its most toxic window, or of its one window."""
     best = np.full(w.n, -30.0)
     if len(w.start):
         rows, owner = subwords(w.data, w.start, w.end, bits)
         total = np.bincount(owner, folded[rows], len(w.start))
-        z = total / (np.bincount(owner, minlength=len(w.start)) + PRIOR) + bias
+        parts = np.bincount(owner, minlength=len(w.start))
         filled = np.flatnonzero(w.counts())
-        best[filled] = np.maximum.reduceat(z, w.offsets[:-1][filled])
+        first = w.offsets[:-1][filled]
+        if pool == "text":
+            best[filled] = np.add.reduceat(total, first) / (np.add.reduceat(parts, first) + PRIOR) + bias
+        else:
+            best[filled] = np.maximum.reduceat(total / (parts + PRIOR) + bias, first)
     return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
 
 
@@ -155,13 +173,15 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE, **training) -> Model | None:
-    """A model of at most sample rows of each class, the first by a hash of the id; None without both classes."""
+    """A model of at most sample ids of each class, the first by a hash of the id; None without both classes."""
+    one = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("label"))
     chosen = None
     for value in (0, 1):
-        part = labels.where((F.col(label) == value) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.lit(value).alias("label")).orderBy(F.xxhash64(F.col("_id")), "_id").limit(sample)
+        part = one.where(F.col("label") == value).orderBy(F.xxhash64("_id"), "_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
     ids = F.broadcast(chosen)  # at most 2 * sample rows of two numbers
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(ids, "_id").select("label", "text").mapInArrow(_words, "label int, words binary").limit(4 * sample).collect()
+    found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(ids, "_id").groupBy("_id", "label").agg(F.min("text").alias("text"))  # one row for each id
+    rows = found.select("label", "text").mapInArrow(_words, "label int, words binary").collect()
     rows = sorted(((r["label"], bytes(r["words"]).split()) for r in rows), key=lambda r: (r[0], r[1]))
     y = np.array([r[0] for r in rows])
     if not (y == 1).any() or not (y == 0).any():
@@ -170,9 +190,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 
 def _score(batches: Iterator[pa.RecordBatch], shipped, text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    folded, bias, bits = shipped.value
+    folded, bias, bits, pool = shipped.value
     for part, w in W.tables(batches, text, W.ALNUM, True, W.SLICE_BYTES // 4):  # some 300 bytes of work for each byte
-        score = text_scores(w, folded, bias, bits) if folded is not None else np.zeros(len(part))
+        score = text_scores(w, folded, bias, bits, pool) if folded is not None else np.zeros(len(part))
         yield pa.RecordBatch.from_arrays([pa.array(score, pa.float64()) if f.name == "toxicity" else part.column(f.name) for f in schema], schema=schema)
 
 
@@ -183,5 +203,5 @@ def score_toxicity(docs: DataFrame, model: Model | None, text: str = "text", kee
     taken = docs.select(*dict.fromkeys([*keep, text]))
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in taken.schema if f.name in keep), T.StructField("toxicity", T.DoubleType())])
     folded, bias = model.folded() if model else (None, 0.0)
-    shipped = docs.sparkSession.sparkContext.broadcast((folded, bias, model.bits if model else BITS))  # 2**BITS numbers
+    shipped = docs.sparkSession.sparkContext.broadcast((folded, bias, model.bits if model else BITS, model.pool if model else "word"))  # 2**BITS numbers
     return taken.mapInArrow(partial(_score, shipped=shipped, text=text, schema=to_arrow_schema(schema)), schema)
