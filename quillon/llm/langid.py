@@ -1,15 +1,19 @@
 """Language identification by error-correcting output codes.
 
-Every language has a codeword, a row of a Hadamard matrix, so codewords differ in half of their bits. For each bit a binary classifier
+Every language has a codeword, a row of a Hadamard matrix, so that codewords differ in half of their bits. For each bit a binary classifier
 over hashed byte n-grams (logistic, trained in numpy) tells the languages with that bit from those without. A text's margins are decoded by loss: for each
 language the exponential loss of its codeword, bits weighted by how well their classifier knew that language in training; the
 least loss wins, and texts whose best two losses lie close are flagged as ambiguous.
 
-Learning takes at most ``per_language`` labelled rows of each language (the first by a hash of the id) as fixed-size histograms of
-their whole texts; prediction reads every text whole.
+Up to ``HADAMARD`` languages; beyond, codewords are drawn at random with ``HADAMARD`` - 1 bits, which differ in about half of them as well.
+
+Learning takes at most ``per_language`` labelled ids of each language (the first by a hash of the id), fewer where many languages would make more
+than ``TOTAL`` of them, but one at least, as fixed-size histograms of their whole texts; prediction reads every text whole.
 
 Defined results: a null text, an empty one or one without a letter is ``und`` with score 0 (ambiguous); with no labelled rows everything is ``und``;
-rows without an id or a language are not learned from; repeated rows get equal results.
+rows without an id or a language are not learned from; repeated rows get equal results and are learned once; of equal losses the first language in
+the order of names wins; a text of any length is read whole; an empty table gives an empty result; output names in ``keep`` raise ValueError, other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from quillon.llm import words as W
 
 GRAMS = (1, 2, 3, 4)
 ROWS = 4096
-PER_LANGUAGE, MOST_LANGUAGES = 600, 512
+PER_LANGUAGE, TOTAL, HADAMARD = 600, 20_000, 512
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
 _HASHES = 1 << 40
@@ -57,7 +61,9 @@ def histograms(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def codewords(n: int) -> np.ndarray:
-    """n rows of -1 and 1: rows of a Hadamard matrix without its constant column."""
+    """n rows of -1 and 1: rows of a Hadamard matrix without its constant column, or drawn at random."""
+    if n > HADAMARD:
+        return np.random.default_rng(n).choice(np.array([-1, 1]), (n, HADAMARD - 1))
     h = np.ones((1, 1), int)
     while len(h) < max(n, 8):
         h = np.block([[h, h], [h, -h]])
@@ -71,7 +77,8 @@ class Model:
     @classmethod
     def fit(cls, x: np.ndarray, languages: list[str], epochs: int = 150, rate: float = 0.5, decay: float = 1e-5) -> Model:
         names = sorted(set(languages))
-        y = np.array([names.index(v) for v in languages])
+        place = {v: i for i, v in enumerate(names)}
+        y = np.array([place[v] for v in languages])
         codes = codewords(len(names))
         target = codes[y] > 0
         share = (1.0 / np.bincount(y, minlength=len(names)))[y] / len(names)  # languages weigh alike
@@ -106,23 +113,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model | None:
-    """A model of at most per_language rows of each language; None without labelled rows."""
+    """A model of at most per_language ids of each language; None without labelled rows."""
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
     light = known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(_HASHES)).alias("_hash"))
-    counts = {r["lang"]: r["n"] for r in light.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    names = sorted(counts)
-    if not names:
+    counts = light.groupBy("lang").agg(F.count("*").alias("_c"))
+    languages = counts.count()
+    if not languages:
         return None
+    most = max(1, min(per_language, TOTAL // languages))
     # about twice the rows asked for, by hash, before any row is ranked: a language that most rows share is no hot key
-    below = F.create_map(*(x for v in names for x in (F.lit(v), F.lit(min(_HASHES, 2 * per_language * _HASHES // counts[v] + 1)))))
+    below = counts.select("lang", F.least(F.lit(_HASHES), F.floor(F.lit(2 * most) * F.lit(float(_HASHES)) / F.col("_c")) + 1).alias("_below"))
     order = Window.partitionBy("lang").orderBy("_hash", "_id")
-    chosen = light.where(F.col("_hash") < below[F.col("lang")]).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("_id", "lang").distinct()
-    ids = F.broadcast(chosen)  # at most per_language * MOST_LANGUAGES rows of an id and a language
-    rows = known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(ids, ["_id", "lang"]).select("lang", "text").mapInArrow(_features, "lang string, x binary").limit(2 * per_language * max(1, len(names))).collect()
-    if not rows:
-        return None
+    few = light.join(below, "lang").where("_hash < _below").select("_id", "lang", "_hash").distinct()
+    chosen = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("_id", "lang")
+    ids = F.broadcast(chosen)  # at most TOTAL rows of an id and a language, or one for each language
+    found = known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(ids, ["_id", "lang"]).groupBy("_id", "lang").agg(F.min("text").alias("text"))
+    rows = found.select("lang", "text").mapInArrow(_features, "lang string, x binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     return Model.fit(np.stack([np.frombuffer(r["x"], np.float16).astype(np.float32) for r in rows]), [r["lang"] for r in rows])
 
