@@ -20,6 +20,7 @@ from quillon.llm.secrets import find_secrets
 from quillon.llm.store import Written
 
 MARK = "[SECRET]"
+BROADCAST_IDS = 2_000_000
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -37,20 +38,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _unpacked(scored.where("toxicity < 0.5"), docs.columns)
 
 
+def _without(docs: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """docs whose column is not among the ids. So many ids, by their count, take 16 MB and some 64 MB as a hash table, and spare the texts a shuffle."""
+    gone = Written(ids.toDF(column).distinct(), "gone").read()
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, column, "left_anti")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _packed(docs).withColumn("_id", F.col("_row.doc_id").cast("long"))
     again = Written(rows.where("_id is not null").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id", F.lit(True).alias("_again")), "repeated-ids").read()
     if again.isEmpty():
-        found = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-        return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+        gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
+        return _unpacked(_without(rows, "_id", gone), docs.columns)
     # rows of one id are told apart by their text, under a hash of both; equal rows are one document
     rows = rows.join(again, "_id", "left").withColumn("_n", F.when(F.col("_again"), F.xxhash64("_id", "text")).otherwise(F.col("_id")))
     found = Written(near_duplicates(rows, doc_id="_n").where("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("_n"), "component_id").distinct(), "components").read()
     names = rows.where("_again").select("_n", "_id").distinct()
     named = found.join(names, "_n", "left").select("component_id", F.struct(F.coalesce("_id", "_n").alias("id"), "_n").alias("row"))
     least = named.groupBy("component_id").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least < most")
-    gone = named.join(least, "component_id").where("row > least").select("row._n").distinct()
-    rest = rows.join(gone, "_n", "left_anti")
+    rest = _without(rows, "_n", named.join(least, "component_id").where("row > least").select("row._n"))
     copies = F.coalesce(F.col("_again") & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))  # texts without a word have no duplicates
     return _unpacked(rest.where(~copies).unionByName(rest.where(copies).dropDuplicates(["_n"])), docs.columns)
 
