@@ -69,7 +69,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("ts").alias("requested_at"), "customer_avg", "tx_count_24h",
         F.when(F.col("unknown"), F.array(F.lit("MERC-none"))).otherwise(F.array(F.lit("MERC-none"), merchant)).alias("known_merchants"),
         merchant.alias("merchant_id"),
-        F.element_at(codes, (F.col("k").cast("int") % 10 + 1)).alias("mcc"), "merchant_avg",
+        F.when(F.col("k").isNotNull(), F.element_at(codes, (F.col("k").cast("int") % 10 + 1))).alias("mcc"), "merchant_avg",
         F.col("event_type").isin("click", "view").alias("is_online"), (F.col("event_type") == "purchase").alias("card_present"),
         (F.col("event_id") * 37 % 1500).cast("float").alias("km_from_home"), "last_timestamp", "last_km",
         F.when(F.col("event_type") == "error", "fraud").otherwise("legit").alias("label"),

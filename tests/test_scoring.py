@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import gzip
 import json
+import random
+from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,11 +15,12 @@ from quillon.config import MCC_RISK, Ivf, Q, U, V
 from quillon.functions.features import hour, minutes_between, weekday, with_features
 from quillon.functions.quantize import unpacked, with_i16, with_u8
 from quillon.functions.requests import content_length, parsed, route, status, transactions
-from quillon.operators import ivf, knn, stats
-from quillon.plans import store
+from quillon.operators import ivf, kdcells, knn, stats
+from quillon.operators.ranks import ranked
+from quillon.plans import oracle, queries, store
 from quillon.sources.tables import is_fraud, labelled_vectors
 
-A = {"id": "tx-1", "transaction": {"amount": 41.12, "installments": 2, "requested_at": "2026-03-11T18:45:53Z"}, "customer": {"avg_amount": 82.24, "tx_count_24h": 3, "known_merchants": ["MERC-003", "MERC-016"]}, "merchant": {"id": "MERC-016", "mcc": "5411", "avg_amount": 60.25}, "terminal": {"is_online": False, "card_present": True, "km_from_home": 29.2331}, "last_transaction": None}
+A = {"id": "own-7", "transaction": {"amount": 250.0, "installments": 3, "requested_at": "2025-07-04T09:30:10Z"}, "customer": {"avg_amount": 100.0, "tx_count_24h": 5, "known_merchants": ["M-1", "M-2"]}, "merchant": {"id": "M-2", "mcc": "5812", "avg_amount": 1200.0}, "terminal": {"is_online": True, "card_present": False, "km_from_home": 500.0}, "last_transaction": None}
 
 
 def without(*path):
@@ -37,10 +41,11 @@ def test_golden_vector(spark):
     found = with_u8(with_i16(with_features(transactions(scored(spark, [A, json.dumps(A, indent=2)]).where("status = 200"), "event_id")))).collect()
     assert len(found) == 2
     for row in found:
-        assert [round(row[v], 7) for v in V] == pytest.approx([0.004112, 0.1666667, 0.05, 0.7826087, 0.3333333, -1, -1, 0.0292331, 0.15, 0, 1, 0, 0.15, 0.006025], abs=1e-6)
-        assert [row[q] for q in Q] == [134, 5461, 1638, 25643, 10922, -32767, -32767, 957, 4915, 0, 32767, 0, 4915, 197]
-        assert [row[u] for u in U] == [128, 148, 133, 227, 170, 0, 0, 131, 146, 127, 255, 127, 146, 128]
-        assert row["part_key"] == 1
+        # worked out by hand from the definitions
+        assert [round(row[v], 7) for v in V] == pytest.approx([0.025, 0.25, 0.25, 0.3913043, 0.6666667, -1, -1, 0.5, 0.25, 1, 0, 0, 0.3, 0.12], abs=1e-6)
+        assert [row[q] for q in Q] == [819, 8191, 8191, 12821, 21844, -32767, -32767, 16383, 8191, 32767, 0, 0, 9830, 3932]
+        assert [row[u] for u in U] == [130, 159, 159, 177, 212, 0, 0, 191, 159, 255, 127, 127, 165, 142]
+        assert row["part_key"] == 2
 
 
 @pytest.mark.parametrize(
@@ -137,6 +142,78 @@ def test_build_and_predict(spark):
     assert {r["fraud_votes"] for r in ivf.ivf_votes(asked, assigned, centroids, 0, 5).collect()} == {0}
 
 
+def test_kmeans_separates_whatever_is_drawn(spark):
+    rows = [(i, 0, *[10 + i % 3] * 14) for i in range(50)] + [(50 + i, 0, *[240 + i % 3] * 14) for i in range(50)]
+    data = points(spark, rows, U)
+    seed = next(s for s in range(1, 100) if len({x < 50 for x in ivf.picks(100, 2, s)}) == 2)
+    centroids, assigned, log = ivf.kmeans(data, Ivf(centroids=2, iterations=10, seed=seed))
+    found = {r["ref_id"]: r["centroid_id"] for r in assigned.collect()}
+    assert len({found[i] for i in range(50)}) == len({found[i] for i in range(50, 100)}) == 1 and found[0] != found[50]
+    assert sorted(round(c[0], 2) for c in centroids) == [10.98, 240.98] and log[-1]["changed"] == 0 and len(log) < 10
+
+
+def test_built_index_finds_neighbours(spark, tmp_path):
+    """Recall of the built index against all lists."""
+    r = random.Random(4)
+    refs = points(spark, [(i, i % 2, *[min(255, max(0, int(r.gauss(60 * (i % 4) + 30, 12)))) for _ in range(14)]) for i in range(1500)], U)
+    store.build_ivf(refs, f"file://{tmp_path}/built", Ivf(centroids=12, nprobe=3, iterations=5))
+    lists, centroids, params = store.load_ivf(spark, f"file://{tmp_path}/built")
+    at = [[float(x[u]) for u in U] for x in centroids.orderBy("centroid_id").collect()]
+    asked = lists.where("ref_id % 20 = 0").withColumnRenamed("ref_id", "query_id")
+    pick = lambda n: {(x["query_id"], x["ref_id"]) for x in ivf.ivf_neighbours(asked, lists, at, n, params["k"]).collect()}
+    every = pick(12)
+    assert params["n"] == lists.count() == 1500 and len(every) == 375 and len(pick(params["nprobe"]) & every) >= 0.9 * len(every)
+
+
+def test_shuffled_and_pruned_searches(spark):
+    """Several blocks of references for a key, cells of a few rows, keys that are null: the neighbours of a plain join."""
+    r = random.Random(3)
+    rows = [(i, i % 2, None if i % 50 == 0 else i % 3 if i % 4 else 0, *[r.randrange(6) for _ in range(14)]) for i in range(400)]
+    refs = points(spark, rows, Q, "part_key")
+    asked = refs.where("ref_id % 5 = 0").withColumnRenamed("ref_id", "query_id")
+    pick = lambda d: sorted(map(tuple, d.select("query_id", "rank", "ref_id", "dist").collect()))
+    plain = pick(knn.neighbours(asked, refs, strategy="join"))
+    assert pick(knn.neighbours(asked, refs)) == plain
+    assert pick(knn.neighbours(asked, refs, block=5, ref_block=30)) == plain
+    for task_rows in (1 << 17, 40):  # cut inside tasks, and a level at a time before
+        celled = kdcells.with_cells(refs, leaf=16, task_rows=task_rows)
+        sizes = {x["cell"]: x["n"] for x in kdcells.cells(celled).collect()}
+        assert max(sizes.values()) <= 16 and min(sizes.values()) >= 8 and sum(sizes.values()) == 392
+        nodes = lambda n: 1 if n <= 16 else 1 + nodes(n // 2) + nodes(n - n // 2)
+        assert all(x["nodes"] == nodes(x["vectors"]) == 2 * x["leaves"] - 1 for x in kdcells.build_counts(celled).collect())
+        assert pick(kdcells.neighbours_by_cells(asked.join(celled.select(F.col("ref_id").alias("query_id"), "cell"), "query_id", "left"), celled, ref_block=100)) == plain
+
+
+def test_ranks(spark):
+    rows = [(i, i * 7919 % 101 // 3, None if i % 3 == 0 else i % 2) for i in range(500)]
+    got = ranked(spark.createDataFrame(rows, "id int, v int, g int"), ["g"], ["v", "id"], range_rows=9).collect()
+    for g in (None, 0, 1):
+        own = sorted((x["v"], x["id"], x["row_idx"]) for x in got if x["g"] == g)
+        assert [x[2] for x in own] == [*range(len(own))]
+    assert len(got) == 500 and ranked(spark.createDataFrame([], "id int"), [], ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["src_transactions", "feature_vector", "partition_counts", "knn_exact_votes", "dispatch_global"])
+def test_events_without_user_or_merchant(spark, tmp_path, name):
+    """Null users and merchants, days without events, equal times and a user with most of the events."""
+    r = random.Random(6)
+    start = datetime(2025, 1, 1)
+    rows = [(i, start + timedelta(minutes=r.choice([0, 1, 1439, 1440, 1441, 9000]) * r.randrange(12) + r.randrange(3)), r.choice([7, 7, 7, 8, 9, None]), r.choice(["click", "purchase", "error", "view"]), r.randrange(1, 90000) / 100, r.choice([None, '{"k": null}', "{}", '{"k": 3}', '{"k": 14}'])) for i in range(400)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got, want = queries.queries()[name](spark, str(tmp_path)).toPandas(), con.sql(oracle.SQL[name]).df()
+    plain = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).itertuples(index=False, name=None)))
+    assert len(got) > 5 and plain(got) == plain(want)
+
+
+def test_escapes_and_wrong_numbers(spark):
+    text = json.dumps(A)
+    bodies = [text.replace('"M-2", "mcc"', '"M\\u002d2", "mcc"'), text.replace("250.0", '"250"'), text.replace("250.0", "[1]"), text.replace('"installments": 3', '"installments": 4294967295'), text.replace('"installments": 3', '"installments": 18446744073709551616')]
+    rows = scored(spark, bodies).select("event_id", "status", "payload.merchant.id").collect()
+    assert [x["status"] for x in sorted(rows)] == [200, 400, 400, 200, 400] and min(rows)["id"] == "M-2"
+
+
 def test_picks_refuse_too_few():
     with pytest.raises(ValueError):
         ivf.picks(3, 4)
