@@ -137,6 +137,14 @@ def test_substring_dedup(spark, hot, block):
     assert got == removed(rows, 50)
 
 
+@pytest.mark.parametrize("hot", [2000, 0])
+def test_substring_dedup_with_heavy_keys_dealt(spark, hot):
+    """Anchors, segments and windows of more than one row go in parts, in every join."""
+    rows = corpus(2, 50)
+    got = sorted(((1 << 63) - 1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in remove_repeats(frame(spark, rows), hot=hot, heavy=1).collect())
+    assert got == removed(rows, 50)
+
+
 @pytest.mark.parametrize("hot", [2000, 0])
 def test_substring_dedup_within_one_document(spark, hot):
     """A passage of document 1 comes several times in document 2, each time in the same surroundings, which document 1 lacks."""
