@@ -36,6 +36,8 @@ PER_LANGUAGE, TOTAL, HADAMARD = 600, 20_000, 512
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
 _HASHES = 1 << 40
+#: Up to so many languages their thresholds are broadcast, a name and a number each.
+BROADCAST_LANGUAGES = 100_000
 _LETTER = W._class([(0x41, 0x5A), (0x61, 0x7A)])
 
 
@@ -123,6 +125,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     most = max(1, min(per_language, TOTAL // languages))
     # about twice the rows asked for, by hash, before any row is ranked: a language that most rows share is no hot key
     below = counts.select("lang", F.least(F.lit(_HASHES), F.floor(F.lit(2 * most) * F.lit(float(_HASHES)) / F.col("_c")) + 1).alias("_below"))
+    below = F.broadcast(below) if languages <= BROADCAST_LANGUAGES else below  # else the join would deal all rows by language first
     order = Window.partitionBy("lang").orderBy("_hash", "_id")
     few = light.join(below, "lang").where("_hash < _below").select("_id", "lang", "_hash").distinct()
     chosen = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("_id", "lang")
