@@ -12,7 +12,7 @@ import numpy as np
 #: split here and looked up; any other text goes to the tokenizer whole.
 _ODD = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]|<\|")
 _PIECE = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-MOST_CACHED = 120_000
+MOST_CACHED = 250_000
 #: Byte-level spelling: bytes without a printable Latin-1 character of their own take the code points from 256 on, in order.
 _OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SPELLED = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _OWN)}
@@ -26,6 +26,26 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+class _Words(dict):
+    """ids of words, found when first asked for; words that are still in use come back from the older half."""
+
+    def __init__(self, ids):
+        super().__init__()
+        self.ids, self.older = ids, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.ids(word)
+        self[word] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > MOST_CACHED:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
     """ids of texts, as little-endian unsigned 32-bit numbers, of a tokenizer that lower-cases and splits by words."""
 
@@ -33,19 +53,16 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize, self.cache = self.tokenizer.model.tokenize, _Words(self._word)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """ids of words that the splitter would leave whole: straight from the model, bytes spelled as it spells them."""
-        tokenize, pack = self.tokenizer.model.tokenize, struct.pack
-        out = []
-        for w in words:
-            found = tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_SPELLED))
-            out.append(pack(f"<{len(found)}I", *[t.id for t in found]))
-        return out
+    def _word(self, word: str) -> bytes:
+        """ids of a word that the splitter would leave whole: straight from the model, bytes spelled as it spells them."""
+        found = self.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_SPELLED))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -53,17 +70,10 @@ class Encoder:
         for i, t in enumerate(texts):
             if t:
                 (odd if _ODD.search(t) else plain).append(i)
-        pieces = [_PIECE.findall(texts[i].lower()) for i in plain]
-        if len(self.cache) > MOST_CACHED:  # words that are still in use come back from the older half
-            self.older, self.cache = self.cache, {}
-        new = set().union(*pieces) - self.cache.keys()
-        known = new & self.older.keys()
-        self.cache.update((w, self.older[w]) for w in known)
-        new = list(new - known)
-        self.cache.update(zip(new, self._words(new), strict=True))
+        self.cache.trim()
         get = self.cache.__getitem__
-        for i, p in zip(plain, pieces, strict=True):
-            out[i] = b"".join(map(get, p))
+        for i in plain:
+            out[i] = b"".join(map(get, _PIECE.findall(texts[i].lower())))
         for i, ids in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
             out[i] = ids
         return out
