@@ -152,6 +152,14 @@ def test_kmeans_separates_whatever_is_drawn(spark):
     assert sorted(round(c[0], 2) for c in centroids) == [10.98, 240.98] and log[-1]["changed"] == 0 and len(log) < 10
 
 
+def test_means_round_sums_before_dividing(spark):
+    """A sum beyond 2**24: 23701205 is 23701204 in single precision, which moves the mean by a last place."""
+    rows = spark.range(96226).select(F.lit(0).alias("centroid_id"), (246 + (F.col("id") < 29609).cast("int")).alias("u0"))
+    got = ivf.means(rows, ["u0"]).select("n", F.col("m_u0").cast("double").alias("m")).first()
+    want = duckdb.sql("SELECT CAST(CAST(CAST(CAST(23701205 AS FLOAT) AS DOUBLE) / CAST(CAST(96226 AS FLOAT) AS DOUBLE) AS FLOAT) AS DOUBLE)").fetchall()[0][0]
+    assert (got["n"], got["m"]) == (96226, want) == (96226, 246.3076934814453)
+
+
 def test_built_index_finds_neighbours(spark, tmp_path):
     """Recall of the built index against all lists."""
     r = random.Random(4)
