@@ -8,6 +8,8 @@ import random
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +194,42 @@ def test_shuffled_and_pruned_searches(spark):
         assert pick(kdcells.neighbours_by_cells(asked.join(celled.select(F.col("ref_id").alias("query_id"), "cell"), "query_id", "left"), celled, ref_block=100)) == plain
 
 
+@pytest.mark.parametrize(("n", "dim", "values", "of_an_id"), [(3000, 14, 6, 1), (3000, 14, 2, 1), (500, 3, 3, 1), (4, 14, 9, 1), (1000, 2, 2, 7)])
+def test_block_of_references_against_brute_force(n, dim, values, of_an_id):
+    """Ties, copies, fewer rows than k and repeated ids."""
+    r = np.random.default_rng(n + values)
+    ids, points = r.permutation(n) // of_an_id, r.integers(-values, values, (n, dim)).astype(float)
+    asked = r.choice(n, min(300, n), replace=False)
+    want = []
+    for i, q in enumerate(asked):
+        d = ((points - points[q]) ** 2).sum(axis=1).astype(int)
+        order = np.lexsort((ids, d))
+        want += [(i, d[x], ids[x], ids[x] % 2) for x in order[ids[order] != ids[q]][:5]]
+    got = knn.References(ids, ids % 2, points, 5).nearest(ids[asked], points[asked], 5)
+    assert list(zip(*got, strict=True)) == want
+
+
+def test_search_looks_at_few_of_many_rows():
+    """Copies are one point, before the shuffle too, and far cells are not visited: every pair of rows was computed before."""
+    r = np.random.default_rng(2)
+    points = np.repeat(r.integers(0, 32768, (4000, 14)).astype(float) // np.array([1] * 2 + [1 << 14] * 12), 20, axis=0)
+    ids = np.arange(len(points))
+    refs = knn.References(ids, ids % 2, points, 5)
+    assert len(refs.points) <= 4000 and len(refs.ids) <= 10 * len(refs.points)
+    seen = [0]
+
+    class Counted(np.ndarray):
+        def __getitem__(self, rows):
+            seen[0] += len(rows) * knn.GROUP
+            return np.asarray(self)[rows]
+
+    refs.points = refs.points.view(Counted)
+    assert len(refs.nearest(ids[::20], points[::20], 5)[0]) == 5 * 4000 and seen[0] < 4000 * 4000
+    names = [f"x{j}" for j in range(14)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids % 2, pa.int32()), pa.array(ids * 0, pa.int32()), *(pa.array(c.astype(np.int32)) for c in points.T)], names=["ref_id", "fraud", "part_key", *names])
+    assert sum(map(len, knn._combined(iter([batch]), names, "part_key", 5, 200_000))) == len(refs.ids)
+
+
 def test_ranks(spark):
     rows = [(i, i * 7919 % 101 // 3, None if i % 3 == 0 else i % 2) for i in range(500)]
     got = ranked(spark.createDataFrame(rows, "id int, v int, g int"), ["g"], ["v", "id"], range_rows=9).collect()
